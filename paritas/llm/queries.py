@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritas.llm import byte_bpe, decontaminate, licenses, line_dedup, ppm, quality, simhash, token_files, toxicity, warc
+from paritas.llm import byte_bpe, decontaminate, licenses, line_dedup, oracles, ppm, quality, simhash, token_files, toxicity, warc
 from paritas.llm.common import load
 
 
@@ -63,3 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_quality_rules": oracles.QUALITY, "op2_decontamination": oracles.CONTAMINATION, "op5_warc": oracles.WARC}
