@@ -52,6 +52,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words of 64 bits in a table of bits: 2 MB, whatever the data.
+BIT_WORDS = 1 << 18
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``keys`` (none that is goes).
+
+    Hashes of the keys set bits in a table of fixed size, which is broadcast; rows whose bit is not set go in the
+    scan, before any shuffle. Where keys are so many that all bits are set, all rows stay.
+    """
+    name, place = keys.columns[0], lambda c: F.xxhash64(c).bitwiseAND(F.lit(BIT_WORDS * 64 - 1))
+    hashed = keys.select(place(F.col(name)).alias("h_"))
+    bits = hashed.groupBy(F.shiftright("h_", 6).alias("w_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h_ & 63 as int))")).alias("b_"))
+    joined = rows.withColumn("p_", place(F.col(key))).join(F.broadcast(bits), F.shiftright("p_", 6) == F.col("w_"))
+    return joined.where(F.expr("shiftright(b_, cast(p_ & 63 as int)) & 1L") == 1).select(*rows.columns)
+
+
 def free_name(taken: Iterable[str], base: str) -> str:
     """``base``, with underscores added until no column has that name (case ignored)."""
     low = {c.lower() for c in taken}

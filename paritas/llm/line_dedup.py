@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import materialise, pick, word_bytes
+from paritas.llm.common import materialise, maybe_in, pick, word_bytes
 
 #: Fewest words of a line that may be a near duplicate; shorter ones must be equal.
 MIN_WORDS = 5
@@ -133,30 +133,40 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return got.select(doc.alias("doc"), line.cast("int").alias("line"), "n", "copies", "k0", "k1", "k2", "k3")
 
 
-def _variants(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (key, at, doc, line, words text) of the wanted lines; ``at`` is -1 for the line itself."""
+def _candidates(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts of the wanted lines: (doc, line, first, second, text).
+
+    Only documents with a wanted line are shuffled, and few others: a bit table of fixed size, broadcast, tells most
+    of the others apart in the scan.
+    """
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "first", "second")).alias("lines"))
-    rows = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(per_doc, "doc")
+    rows = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = maybe_in(rows, "doc", wanted.select("doc")).join(per_doc, "doc")
+    lines = rows.select("doc", F.split("text", "\n").alias("split"), F.explode("lines").alias("x"))
+    return lines.select("doc", "x.line", "x.first", "x.second", F.get("split", F.col("x.line")).alias("text")).where(F.col("text").isNotNull())
+
+
+def _variants(candidates: DataFrame) -> DataFrame:
+    """Rows (key, at, doc, line): the line without word ``at``, or the line itself with ``at`` = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, lines in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                split, keys, ats, numbers = text.as_py().split("\n"), [], [], []
-                for x in lines.as_py():
-                    if x["line"] >= len(split):
-                        continue  # another row of the same id
-                    words = word_bytes(split[x["line"]])
+            docs_, lines = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for begin in range(0, batch.num_rows, 2000):
+                keys, ats, row = [], [], []
+                for i in range(begin, min(begin + 2000, batch.num_rows)):
+                    words = word_bytes(batch.column(4)[i].as_py())
                     if len(words) < 2:
                         continue
-                    k, at = variant_keys(words, x["first"], x["second"])
+                    k, at = variant_keys(words, batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
                     keys += [np.array([full_key(words)], np.int64), k]
                     ats += [np.array([-1]), at]
-                    numbers += [np.full(len(k) + 1, x["line"])]
+                    row.append((i, len(k) + 1))
                 if keys:
-                    flat = np.concatenate(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.full(len(flat), doc, np.int64)), pa.array(np.concatenate(numbers).astype(np.int32))], names=["key", "at", "doc", "line"])
+                    which = np.repeat(np.array([i for i, _ in row]), [n for _, n in row])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(docs_[which]), pa.array(lines[which].astype(np.int32))], names=["key", "at", "doc", "line"])
 
-    return rows.mapInArrow(run, f"key long, at int, {_LINE}")
+    return candidates.mapInArrow(run, f"key long, at int, {_LINE}")
 
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -167,8 +177,9 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     ).select("doc", "line", "k.key", "k.is_first")
     shared = halves_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     wanted = halves_.join(shared, "key").groupBy("doc", "line").agg(F.bool_or("is_first").alias("first"), F.bool_or(~F.col("is_first")).alias("second"))
-    variants = materialise(_variants(docs, wanted, id_col, text_col), "variants")
-    # of the lines that leave out the same word, and of all lines of a key, the earliest; and lines that are the key
+    candidates = materialise(_candidates(docs, materialise(wanted, "wanted"), id_col, text_col), "candidates")
+    variants = materialise(_variants(candidates), "variants")
+    # of the lines that leave out the same word of a key, the earliest; and lines that are the key
     by_word = variants.where("at >= 0").groupBy("key", "at").agg(F.min(place(F.col("doc"), F.col("line"))).alias("early"), F.count("*").alias("n")).where("n > 1")
     found = variants.join(by_word, ["key", "at"]).select(place(F.col("doc"), F.col("line")).alias("late"), "early")
     whole = variants.where("at = -1").select("key", place(F.col("doc"), F.col("line")).alias("whole"))
@@ -177,15 +188,12 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     longer = shorter.where(here > F.col("whole")).select(here.alias("late"), F.col("whole").alias("early"))
     back = shorter.where(here < F.col("whole")).groupBy("whole").agg(F.min(here).alias("early")).select(F.col("whole").alias("late"), "early")
     links = found.unionByName(longer).unionByName(back).where(F.col("early") < F.col("late")).distinct()
-    return distinct, _verified(docs, materialise(links, "links"), id_col, text_col)
+    return distinct, _verified(candidates, links)
 
 
-def _verified(docs: DataFrame, links: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links whose two lines are within one edit; only the texts of lines in links are fetched."""
-    ends = links.select(F.col("late").alias("at")).union(links.select("early")).distinct()
-    per_doc = ends.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list("at.line").alias("lines"))
-    rows = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), F.split(text_col, "\n").alias("split")).join(per_doc, "doc")
-    texts = rows.select("doc", F.explode("lines").alias("line"), "split").select(place(F.col("doc"), F.col("line")).alias("at"), F.get("split", F.col("line")).alias("text")).where(F.col("text").isNotNull())
+def _verified(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """Links whose two lines are within one edit."""
+    texts = candidates.select(place(F.col("doc"), F.col("line")).alias("at"), "text")
 
     @F.arrow_udf("boolean")
     def close(a: pa.Array, b: pa.Array) -> pa.Array:
