@@ -21,9 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from paritas.llm.common import pick
+from paritas.llm.common import pick, with_column, worker_state
 
 LONG_PIECE = 256
 #: Pieces that a worker keeps; characters of the longest; pieces of texts handled together; token rows in one query.
@@ -191,20 +190,17 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
-_codecs: dict[str, Codec] = {}
-
-
 class _Sent:
     def __init__(self, spark: SparkSession, raw: bytes, pattern: str):
         self.sent, self.pattern = spark.sparkContext.broadcast(raw), pattern
         self.key = hashlib.sha256(raw + pattern.encode()).hexdigest()
 
     def codec(self) -> Codec:
-        if self.key not in _codecs:
-            _codecs.clear()
+        codecs = worker_state("byte_bpe")
+        if self.key not in codecs:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, self.sent.value.splitlines()))}
-            _codecs[self.key] = Codec(ranks, self.pattern)
-        return _codecs[self.key]
+            codecs[self.key] = Codec(ranks, self.pattern)
+        return codecs[self.key]
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +252,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
         codec = sent.codec()
         return pa.array([codec.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return docs.withColumn(to, ids(F.col(text_col)))
+    return with_column(docs, text_col, to, ids)
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
@@ -271,4 +267,4 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids",
         done = iter(sent.codec().decode_runs([r for r in runs if r is not None]))
         return pa.array([None if r is None else next(done) for r in runs], pa.binary())
 
-    return rows.withColumn(to, raw(F.col(ids_col)))
+    return with_column(rows, ids_col, to, raw)

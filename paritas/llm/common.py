@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -52,6 +55,35 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held in memory on both sides.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+_state: dict = {}
+
+
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps between tasks of one operator.
+
+    Workers outlive operators; when another one begins, what the last one kept is given back to the system.
+    """
+    if _state.get("owner") != owner:
+        had = len(_state) > 1
+        _state.clear()
+        _state["owner"] = owner
+        if had:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return _state
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless it has fewer."""
+    if int(spark.conf.get(_BATCH_CONF, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 #: Words of 64 bits in a table of bits: 2 MB, whatever the data.
 BIT_WORDS = 1 << 18
 
@@ -79,6 +111,7 @@ def free_name(taken: Iterable[str], base: str) -> str:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, by exact name first; other columns may clash in case without harm."""
+    small_batches(df.sparkSession)
     places = []
     for name in names:
         found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
@@ -89,6 +122,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return inner.select(*(F.col(f"c{i}").alias(name) for i, name in zip(places, names)))
 
 
+def with_column(df: DataFrame, source: str, to: str, f) -> DataFrame:
+    """``df`` with ``f`` of the column ``source`` as ``to`` (in place, if there is one of exactly that name)."""
+    small_batches(df.sparkSession)
+    names = list(df.columns)
+    inner = df.toDF(*(f"c{i}" for i in range(len(names))))
+    new = f(F.col(f"c{names.index(source)}"))
+    if to in names:
+        return inner.select(*(new.alias(n) if n == to else F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    return inner.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)), new.alias(to))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import pick, word_bytes
+from paritas.llm.common import pick, small_batches, word_bytes, worker_state
 
 WINDOW = 10
 #: Item words in one automaton; a block of so many is at most about 100 MB in a worker.
@@ -176,16 +176,14 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block
 
 
-_built: dict[int, Automaton] = {}
-
-
 def _automaton(sent, window: int) -> Automaton:
     """Of a broadcast block; a worker keeps only the last few it has built."""
-    if (key := sent.id if hasattr(sent, "id") else id(sent)) not in _built:
-        while len(_built) >= 2:
-            _built.pop(next(iter(_built)))
-        _built[key] = Automaton([(name, word_bytes(text)) for name, text in sent.value], window)
-    return _built[key]
+    built = worker_state("decontaminate")
+    if sent.id not in built:
+        while len(built) > 2:  # the owner's name is one
+            built.pop([k for k in built if k != "owner"][0])
+        built[sent.id] = Automaton([(name, word_bytes(text)) for name, text in sent.value], window)
+    return built[sent.id]
 
 
 class _Block:
@@ -208,6 +206,7 @@ def send_blocks(docs: DataFrame, benchmark: DataFrame, **names) -> list[_Block]:
 def scan_texts(texts: list[str | None], blocks: list, window: int) -> list[tuple[int, bytearray, set[str]]]:
     """Words, hit words and items found of each text; each block is gone through for the whole batch."""
     found: list = [None] * len(texts)
+    worker_state("decontaminate")
     for sent in blocks or [None]:
         automaton = _automaton(sent, window) if sent else None
         for i, text in enumerate(texts):
@@ -286,6 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         found = scan_texts(whole, blocks, window)
         return pa.array([cut(t or "", hit, least, max_coverage) or (None if any(hit) else t or "") for t, (_, hit, _) in zip(whole, found)], pa.string())
 
+    small_batches(docs.sparkSession)
     names = list(docs.columns)
     at = names.index(text_col)
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))

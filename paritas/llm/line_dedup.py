@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import materialise, maybe_in, pick, word_bytes
+from paritas.llm.common import materialise, maybe_in, pick, word_bytes, worker_state
 
 #: Fewest words of a line that may be a near duplicate; shorter ones must be equal.
 MIN_WORDS = 5
@@ -106,6 +106,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
     """A row per line with words: 128-bit hash, place, words, keys of halves (null for short lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("line_dedup")
         names = ["h1", "h2", "doc", "line", "n", "k0", "k1", "k2", "k3"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -150,6 +151,7 @@ def _variants(candidates: DataFrame) -> DataFrame:
     """Rows (key, at, doc, line): the line without word ``at``, or the line itself with ``at`` = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("line_dedup")
         for batch in batches:
             docs_, lines = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for begin in range(0, batch.num_rows, 2000):
@@ -227,12 +229,13 @@ def _applied(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, every
 
     @F.arrow_udf("struct<n_lines:long,n_kept:long,left:string>")
     def apply(texts: pa.Array, lists: pa.Array, whole: pa.Array) -> pa.Array:
+        worker_state("line_dedup")
         out = []
         for t, k, w in zip(texts, lists, whole):
             lines = (t.as_py() or "").split("\n")
             keep = None if w.as_py() else set(k.as_py() or ())
             has = [bool(word_bytes(line)) for line in lines]
-            stay = [not h or keep is None or i in keep for i, (line, h) in enumerate(zip(lines, has))]
+            stay = [not h or keep is None or i in keep for i, h in enumerate(has)]
             out.append((sum(has), sum(h and s for h, s in zip(has, stay)), "\n".join(line for line, s in zip(lines, stay) if s)))
         a, b, c = zip(*out) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["n_lines", "n_kept", "left"])

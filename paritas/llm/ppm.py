@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paritas.llm.common import has_letter, pick
+from paritas.llm.common import has_letter, pick, worker_state
 
 ORDER = 4
 TRAIN_DOCS, TRAIN_BYTES = 400, 20_000
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, train
     chosen = [r[0] for r in rows.select(id_col, lang_col).withColumn("rank", rank).where(F.col("rank") <= train_docs).select(id_col).collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ppm")
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
                 packed, n = np.unique(grams(prepared(text.as_py()[:train_bytes])[:train_bytes], order), return_counts=True)
@@ -162,6 +163,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ppm")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from paritas.llm.common import pick
+from paritas.llm.common import pick, small_batches, worker_state
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -65,6 +65,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 @arrow_udf(_TYPE)
 def measured(texts: pa.Array) -> pa.Array:
+    worker_state("quality")
     rows = [measure(t.as_py()) for t in texts]
     columns = list(zip(*rows)) or [()] * len(MEASURES)
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(MEASURES))
@@ -145,6 +146,7 @@ def ablations(entries: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 def keep_clean(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns; one scan, no shuffle and no join."""
+    small_batches(docs.sparkSession)
     names = list(docs.columns)
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = names.index(text_col)

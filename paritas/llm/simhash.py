@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import materialise, pick
+from paritas.llm.common import materialise, pick, worker_state
 
 BITS = 64
 RADIUS = 3
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
@@ -226,6 +227,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, sample: int = S
     sent = spark.sparkContext.broadcast(trees)  # its size follows the number of shards, of at most ``sample`` leaves a tree
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             every, here = np.arange(len(fps)), np.ones(len(fps), bool)
@@ -364,6 +366,7 @@ def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, size: int = WI
     parts = [f"f{i}" for i in range(WIDE_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in batches:
             fps = np.array([wide_fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).reshape(batch.num_rows, WIDE_WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE_WORDS))], names=["id", *parts])
@@ -379,6 +382,7 @@ def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, size: int = WI
     sent = spark.sparkContext.broadcast(trees)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in batches:
             fps = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(WIDE_WORDS)], axis=1).view(np.uint64)
             every, here = np.arange(len(fps)), np.ones(len(fps), bool)

@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paritas.llm.common import free_name, new_path, pick
+from paritas.llm.common import free_name, new_path, pick, worker_state
 
 END_ID = 1
 #: Words that a worker keeps the ids of, and the longest such word.
 CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
-_state: dict = {}
 
 
 #: Where an ASCII mark follows a letter a-z the splitter always cuts.
@@ -73,14 +72,13 @@ class WordCachedEncoder:
 
 
 def _encoder(spec) -> WordCachedEncoder:
-    if "encoder" not in _state:
+    state = worker_state("token_files")
+    if spec.id not in state:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _state["encoder"] = (spec.id, WordCachedEncoder(spec.value))
-    if _state["encoder"][0] != spec.id:
-        _state["encoder"] = (spec.id, WordCachedEncoder(spec.value))
-    return _state["encoder"][1]
+        state[spec.id] = WordCachedEncoder(spec.value)
+    return state[spec.id]
 
 
 class _Sent:
@@ -145,6 +143,7 @@ def document_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     id_type = rows.schema[1].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("document_index")
         for batch in batches:
             lists = batch.column(2)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import pick, word_bytes
+from paritas.llm.common import pick, word_bytes, worker_state
 
 DIMENSIONS = 1 << 17
 TRAIN_DOCS, FOLDS, THRESHOLD = 3000, 3, 0.5
@@ -188,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, folds:
     rows = pick(docs, id_col, text_col).where(F.col(text_col).isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         cache: dict = {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -215,6 +216,7 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD, id
     names = [n for n, _ in CATEGORIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         chain = sent.value
         weights: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:

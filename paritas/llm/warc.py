@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import materialise, new_path, pick
+from paritas.llm.common import materialise, new_path, pick, worker_state
 
 #: Bytes of compressed records in an archive, at least one record.
 ARCHIVE_BYTES = 32 << 20
@@ -206,6 +206,7 @@ def write(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIV
     path = path or new_path(pages.sparkSession, "archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("warc")
         filesystem, folder = open_fs(path)
         chunks: list[bytes] = []
         lines: list[bytes] = []
@@ -255,6 +256,7 @@ def read(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
         return name or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("warc")
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 filesystem, place = open_fs(archive)
