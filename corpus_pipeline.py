@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.llm import byte_bpe, decontaminate, line_dedup, quality, simhash
-from paritas.llm.common import load, new_path
+from paritas.llm.common import load, new_path, with_column
 
 
 def recounted(docs: DataFrame) -> DataFrame:
     """``n_chars`` of texts that a stage has changed."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+    return with_column(docs, "text", "n_chars", lambda t: F.length(t).cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
