@@ -98,7 +98,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, penalty: float = 1.5, steps: int = 80) -> Linear:
+def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, penalty: float = 0.5, steps: int = 80) -> Linear:
     """L1-penalised logistic regression by accelerated proximal steps; the intercept is not penalised."""
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
