@@ -180,3 +180,18 @@ def synthetic_score(text: Column, question: Column, truth: Column) -> Column:
 def token_density(text: Column, pattern: str) -> Column:
     """Matches per 100 words; null without words."""
     return F.try_divide(F.lit(100.0) * F.regexp_count(text, F.lit(f"(?iU){pattern}")), word_count(text).cast("double"))
+
+
+#: Two ways to ask a writer for a document; {seed}, {race}, {gender} and {school_tier} are filled in.
+PROMPTS = {
+    "original": "Write a personal statement. Background: {seed}. The applicant is {race}, {gender}, from a {school_tier} school.",
+    "content_neutral": "Write a personal statement with the same content for every applicant. Background: {seed}. Identity, for names only: {race}, {gender}, {school_tier}.",
+}
+
+
+def build_prompt(variant: str = "original", prompts: dict | None = None, **columns: Column) -> Column:
+    """The prompt of a row: the template of ``variant`` with its fields replaced by columns."""
+    out = F.lit({**PROMPTS, **(prompts or {})}[variant])
+    for name, column in columns.items():
+        out = F.replace(out, F.lit("{" + name + "}"), column)
+    return out

@@ -82,11 +82,54 @@ def score_deltas(baseline: DataFrame, other: DataFrame, key: str = "doc_id") ->
     return joined.withColumn("delta", F.col("counterfactual") - F.col("baseline"))
 
 
-def lexicon_compound(text: Column, lexicon: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Per document: the sum of the valences of its words, s / sqrt(s * s + 15). ``lexicon``: a small table (word, valence)."""
+def lexicon_scores(text: Column, lexicon: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """Per document: shares of negative, neutral and positive words, and ``compound``, s / sqrt(s * s + 15) of the summed valences.
+
+    ``lexicon``: a small table (word, valence). A text without words has neg 0, neu 1, pos 0, compound 0. Words are
+    counted before the shuffle, a few sums per document.
+    """
     words = df.select(F.col(key), F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}']+"), F.lit(0))).alias("word"))
-    got = words.join(F.broadcast(lexicon), "word", "left").groupBy(key).agg(F.sum(F.coalesce("valence", F.lit(0.0))).alias("s"))
-    return got.select(key, (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("compound"))
+    v = F.coalesce("valence", F.lit(0.0))
+    got = words.join(F.broadcast(lexicon), "word", "left").groupBy(key).agg(
+        F.sum(v).alias("s"), F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("p"), F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("m"), F.count(F.when(F.col("word").isNotNull() & (v == 0), 1)).alias("z")
+    )
+    total = F.col("p") + F.col("m") + F.col("z")
+    share = lambda c, none: F.coalesce(F.try_divide(F.col(c), total), F.lit(none))
+    return got.select(key, share("m", 0.0).alias("neg"), share("z", 1.0).alias("neu"), share("p", 0.0).alias("pos"), (F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)).alias("compound"))
+
+
+def lexicon_compound(text: Column, lexicon: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    return lexicon_scores(text, lexicon, df, key).select(key, "compound")
+
+
+def join_scores(corpus: DataFrame, scores: DataFrame, key: str, **more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``corpus`` with one or more tables of scores (left joins), and a row (table, unmatched) for each.
+
+    Unmatched rows stay, with null scores: rankings put them last, paired tests leave them out.
+    """
+    out, marks = corpus, []
+    for name, table in {"scores": scores, **more}.items():
+        out = out.join(table.withColumn(f"has_{name}", F.lit(True)), key, "left")
+        marks.append(name)
+    counts = out.select(F.explode(F.array(*(F.struct(F.lit(m).alias("table"), F.col(f"has_{m}").isNull().cast("long").alias("miss")) for m in marks))).alias("x"))
+    return out.drop(*(f"has_{m}" for m in marks)), counts.groupBy("x.table").agg(F.sum("x.miss").alias("unmatched"))
+
+
+def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``a`` and ``b`` side by side; an error at run time if a key is in one of them only."""
+    both = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), key, "full")
+    whole = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    checked = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string"))).cast("boolean"))
+    return both.where(checked).drop("in_a", "in_b")
+
+
+def density_ratio(df: DataFrame, text: str, pattern: str, tier: str, seed: str, top: str, low: str) -> DataFrame:
+    """Mean matches per 100 words of the top and the lower tier per seed, and their ratio."""
+    from paritas.functions.texts import token_density
+
+    rows = df.withColumn("d_", token_density(F.col(text), pattern))
+    side = lambda t: F.avg(F.when(F.col(tier) == t, F.col("d_")))
+    return rows.groupBy(seed).agg(side(top).alias("top"), side(low).alias("low")).withColumn("ratio", ratio(F.col("top"), F.col("low")))
 
 
 def gap_table(scores: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -135,3 +135,37 @@ def heatmap(audit: DataFrame, value: str = "disparate_impact", scores: Sequence[
 def slopes(decomposed: DataFrame) -> DataFrame:
     """Rows (question, axis, stage, position, disparate_impact): both ends of each line of a slope figure."""
     return decomposed.unpivot(["question", "axis"], ["original_di", "stripped_di"], "stage", "disparate_impact").withColumn("position", F.when(F.col("stage") == "original_di", 0).otherwise(1))
+
+
+def bars(audit: DataFrame) -> DataFrame:
+    """Rows (score_col, axis, group, selection_rate, disparate_impact, passes): what a bar figure shows; passes within [0.8, 1.25]."""
+    from paritas.functions.scalars import four_fifths
+
+    long = audit.unpivot([*CELL, "disparate_impact"], ["selection_rate_group0", "selection_rate_group1"], "side", "selection_rate")
+    return long.select(*CELL, F.regexp_extract("side", "(group.)$", 1).alias("group"), "selection_rate", "disparate_impact", four_fifths(F.col("disparate_impact"), True).alias("passes"))
+
+
+def forest(intervals: DataFrame, label: str) -> DataFrame:
+    """Rows (position, label, point, ci_lo, ci_hi), the smallest ratio first: a table of a few results."""
+    from pyspark.sql import Window
+
+    return intervals.select(F.row_number().over(Window.orderBy(F.col("point").asc_nulls_last(), label)).alias("position"), label, "point", "ci_lo", "ci_hi")
+
+
+def section_lines(scored: DataFrame, key: str, instruments: Sequence[str]) -> DataFrame:
+    """Rows (document, pos, label, instrument, score) of scored sections, for a line figure."""
+    return scored.where("scored").unpivot([key, "pos", "label"], list(instruments), "instrument", "score")
+
+
+def confirmatory_test(df: DataFrame, score, axis: str = "school_tier", fraction: float = 0.3, config: Mapping[str, dict] = DEFAULT_AXES, key: str = "applicant_id", text: str = "text") -> DataFrame:
+    """The registered test: school names by tier placeholders, new scores, the ratio with its exact p-value, and the decision.
+
+    ``score``: a column function of a text.
+    """
+    from paritas.functions.scalars import prereg_decision
+    from paritas.functions.texts import tier_substitution
+
+    rows = df.select(key, F.col(f"stratum_{axis}").alias("tier"), tier_substitution(F.col(text), F.col("stratum_school_tier")).alias("t"))
+    rows = rows.select(key, "tier", score(F.col("t")).alias("score"))
+    got = axis_permutation(rows, ["score"], {axis: "tier"}, [key], fraction, config)
+    return got.select("axis", "n0", "n1", "k", "observed_di", "p_value", prereg_decision(F.col("observed_di"), F.col("p_value")).alias("decision"))

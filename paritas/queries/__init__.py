@@ -10,18 +10,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    from paritas.queries import inference, models, selection, simulation, texts
+    from paritas.queries import extras, inference, models, selection, simulation, texts
 
     out: dict[str, Query] = {}
-    for module in (selection, inference, texts, simulation, models):
+    for module in (selection, inference, texts, simulation, models, extras):
         out.update(module.QUERIES)
     return out
 
 
 def all_sql() -> dict[str, str]:
-    from paritas.queries import inference, models, selection, simulation, texts
+    from paritas.queries import extras, inference, models, selection, simulation, texts
 
     out: dict[str, str] = {}
-    for module in (selection, inference, texts, simulation, models):
+    for module in (selection, inference, texts, simulation, models, extras):
         out.update(module.SQL)
     return out

@@ -128,6 +128,34 @@ def test_report_has_no_nan(spark, tmp_path):
     assert json.loads((tmp_path / "r.json").read_text()) == {"t": [{"a": None, "b": None, "c": 1.5}]}
 
 
+def test_aligned_wants_partners(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "z")], "k int, b string")
+    assert [tuple(r) for r in documents.aligned(a.where("k = 1"), b, "k").collect()] == [(1, "x", "z")]
+    with pytest.raises(Exception, match="no partner for 2"):
+        documents.aligned(a, b, "k").collect()
+
+
+def test_unmatched_scores_stay(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 0.5)], "k int, s double")
+    rows, counts = documents.join_scores(a, b, "k")
+    assert sorted(map(tuple, rows.collect())) == [(1, 0.5), (2, None)] and counts.first()["unmatched"] == 1
+
+
+def test_confirmatory(spark):
+    rows = [(f"PS{i}", ("top_20", "mid_tier", "lower_tier")[i % 3], f"He studied at Harvard medical school {'x' * (i % 5)}") for i in range(30)]
+    df = spark.createDataFrame(rows, "applicant_id string, stratum_school_tier string, text string")
+    got = audits.confirmatory_test(df, lambda t: F.length(t).cast("double")).first()
+    assert got["n0"] == 20 and got["n1"] == 10 and got["k"] == 9 and got["decision"] in ("H0", "H1", "ambiguous", "undefined")
+    assert apply(spark, lambda t: texts.tier_substitution(t, F.lit("top_20")), rows[0][2]) == ["He studied at [TIER1_SCHOOL] medical school "]
+
+
+def test_word_shares(spark):
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
+    rows = spark.createDataFrame([(1, "Good bad thing"), (2, ""), (3, None)], "k int, t string")
+    got = {r["k"]: (r["neg"], r["neu"], r["pos"]) for r in documents.lexicon_scores(F.col("t"), lexicon, rows, "k").collect()}
+    assert got[1] == pytest.approx((2 / 6, 1 / 6, 3 / 6)) and got[2] == got[3] == (0.0, 1.0, 0.0)
+
+
 def test_model_calls_and_scorers(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
     assert {r["id"]: r["content"] for r in corpora.call_model(df, "t", str.upper, "id").collect()} == {1: "A", 2: ""}
