@@ -47,7 +47,7 @@ WITH RECURSIVE t AS (
         ) AS a JOIN t AS r ON r.word = a.word AND r.pos = a.gone
     ) AS b ON t.word = b.word AND t.pos <> b.gone
 )
-SELECT word, tok FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM t) WHERE step = last ORDER BY word, pos
+SELECT word, tok FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) USING (word, step) ORDER BY word, pos
 """
 
 DECODE = "SELECT run, string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids AS i JOIN vocabulary AS v ON v.id = i.tok GROUP BY run ORDER BY run"
@@ -91,8 +91,8 @@ class Codec:
             got = self.con.execute(ENCODE).fetchnumpy()
             self.con.unregister("seed")
             words, toks = np.asarray(got["word"]), np.asarray(got["tok"]).astype("<u4")
-            cuts = np.searchsorted(words, np.arange(1, len(part)))
-            out += [x.tobytes() for x in np.split(toks, cuts)]
+            cuts, raw = (4 * np.searchsorted(words, np.arange(len(part) + 1))).tolist(), toks.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
             at = end
         return out
 
