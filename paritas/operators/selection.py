@@ -1,8 +1,8 @@
 """Top-K selection that does not depend on row order, and selection rates of groups.
 
-``top_k`` never ranks all rows of a cell in one task: rows are counted by score (summed before the shuffle), the
-score at the border is found on the distinct scores, and only the rows tied at the border are ranked, by a hash of
-their keys. ``ranked`` gives full ranks, for sweeps over many K and for resampled cells of bounded size.
+``top_k`` never ranks all rows of a cell in one task: a sketch brackets the border, rows in the bracket are counted by
+score (summed before the shuffle), the score at the border is found on these distinct scores, and only the rows tied
+at it are ranked, by a hash of their keys. ``ranked`` gives full ranks, for sweeps over many K and for resampled cells of bounded size.
 """
 
 from __future__ import annotations
@@ -29,25 +29,47 @@ def ranked(df: DataFrame, score: str, keys: Sequence[str], cells: Sequence[str]
     return df.withColumn(to, F.row_number().over(order).cast("long")).withColumn(size, F.count(F.lit(1)).over(cell))
 
 
+#: Half width, in ranks over n, of the bracket around the border in ``top_k``, and the accuracy of the sketch that finds it.
+BRACKET, ACCURACY = 0.01, 1000
+
+
+def _per_cell(rows: DataFrame, table: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, one row per cell; without cells, one row."""
+    return rows.join(table, list(cells)) if cells else rows.crossJoin(F.broadcast(table))
+
+
+def _border(s: DataFrame, fraction: float, cells: Sequence[str], min_k: int) -> DataFrame:
+    """Per cell: the score at the border (``b_``) and how many of its rows are wanted (``want_``); no row where K is 0.
+
+    A mergeable sketch brackets the border within two hundredths of the ranks; only distinct scores inside the bracket
+    are put in order. Where the bracket does not hold the border (few rows, or a border among missing scores), it is
+    widened to all scores of the cell.
+    """
+    p = [max(0.0, 1 - fraction - BRACKET), min(1.0, 1 - fraction + BRACKET)]
+    stats = s.groupBy(*cells).agg(F.count(F.lit(1)).alias("n_"), F.percentile_approx("s_", p, ACCURACY).alias("q_"))
+    stats = stats.select(*cells, k_of(fraction, F.col("n_"), min_k).alias("k_"), F.get("q_", F.lit(0)).alias("lo_"), F.get("q_", F.lit(1)).alias("hi_"))
+    seen = _per_cell(s, stats, cells).groupBy(*cells, "k_", "lo_", "hi_").agg(F.count(F.when(F.col("s_") > F.col("hi_"), 1)).alias("over_"), F.count(F.when(F.col("s_").between(F.col("lo_"), F.col("hi_")), 1)).alias("in_"))
+    holds = (F.col("over_") < F.col("k_")) & (F.col("over_") + F.col("in_") >= F.col("k_"))
+    bracket = seen.where("k_ > 0").select(*cells, "k_", F.when(holds, F.col("lo_")).alias("lo_"), F.when(holds, F.col("hi_")).alias("hi_"), F.when(holds, F.col("over_")).otherwise(0).alias("over_"))
+    inside = _per_cell(s, bracket, cells).where(F.col("lo_").isNull() | F.col("s_").between(F.col("lo_"), F.col("hi_")))
+    counts = inside.groupBy(*cells, "k_", "over_", "s_").agg(F.count(F.lit(1)).alias("m_"))
+    run = Window.partitionBy(*cells, "k_").orderBy(F.col("s_").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.withColumn("upto_", F.col("over_") + F.sum("m_").over(run)).withColumn("above_", F.col("upto_") - F.col("m_"))
+    return steps.where((F.col("above_") < F.col("k_")) & (F.col("upto_") >= F.col("k_"))).select(*cells, F.col("s_").alias("b_"), (F.col("k_") - F.col("above_")).alias("want_"), F.lit(True).alias("has_"))
+
+
 def top_k(df: DataFrame, score: str, keys: Sequence[str], fraction: float, cells: Sequence[str] = (), seed: int = 0, min_k: int = 1, to: str = "selected") -> DataFrame:
     """``df`` with 1 in ``to`` for the best rint(fraction * n) rows of each cell, 0 else.
 
     Missing scores count in n and come last. ``min_k`` is the least number selected.
     """
-    cell = [F.col(c) for c in cells]
     s = df.withColumn("s_", finite(F.col(score)))
-    counts = s.groupBy(*cell, "s_").agg(F.count(F.lit(1)).alias("m_"))
-    over = Window.partitionBy(*cells) if cells else Window.partitionBy(F.lit(0))
-    run = over.orderBy(F.col("s_").desc_nulls_last())
-    steps = counts.withColumn("n_", F.sum("m_").over(over)).withColumn("upto_", F.sum("m_").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    steps = steps.withColumn("k_", k_of(fraction, F.col("n_"), min_k)).withColumn("above_", F.col("upto_") - F.col("m_"))
-    # one row per cell: the score at the border, and how many of its rows are still wanted
-    border = steps.where((F.col("above_") < F.col("k_")) & (F.col("upto_") >= F.col("k_"))).select(*cell, F.col("s_").alias("b_"), (F.col("k_") - F.col("above_")).alias("want_"), F.lit(True).alias("has_"))
-    joined = s.join(border, list(cells), "left") if cells else s.join(border, F.lit(True), "left")
-    tied = F.col("s_").eqNullSafe(F.col("b_")) & F.col("has_")
-    better = F.col("has_") & F.when(F.col("b_").isNull(), F.col("s_").isNotNull()).otherwise(F.coalesce(F.col("s_") > F.col("b_"), F.lit(False)))
+    border = _border(s.select(*cells, "s_"), fraction, cells, min_k)
+    joined = s.join(border, list(cells), "left") if cells else s.join(F.broadcast(border), F.lit(True), "left")
+    tied = F.col("s_").eqNullSafe(F.col("b_"))
+    better = F.when(F.col("b_").isNull(), F.col("s_").isNotNull()).otherwise(F.coalesce(F.col("s_") > F.col("b_"), F.lit(False)))
+    out = joined.withColumn("state_", F.when(F.col("has_").isNull(), 0).when(tied, 1).when(better, 2).otherwise(0))
     place = F.row_number().over(Window.partitionBy(*cells).orderBy(tie_key(seed, *map(F.col, keys))))
-    out = joined.withColumn("state_", F.when(tied, 1).when(better, 2).otherwise(0))
     ties = out.where("state_ = 1").withColumn(to, (place <= F.col("want_")).cast("int"))
     rest = out.where("state_ <> 1").withColumn(to, (F.col("state_") == 2).cast("int"))
     return ties.unionByName(rest).select(*df.columns, to)
