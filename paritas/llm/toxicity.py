@@ -29,6 +29,8 @@ from paritas.llm.common import pick, word_bytes, worker_state
 
 DIMENSIONS = 1 << 17
 TRAIN_DOCS, FOLDS, THRESHOLD = 3000, 3, 0.5
+#: Least first gradient, on the scale of the penalty, of a feature that is fitted.
+SCREEN = 3.0
 
 #: Plain English insults, for the weak labels of categories that the table of labels lacks.
 INSULTS = frozenset(b"idiot moron stupid loser clown scum trash worthless pathetic disgusting fool dumb jerk".split())
@@ -106,9 +108,9 @@ def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, penalty: float = 0
     size, extra = DIMENSIONS, earlier.shape[1]
     used, codes = np.unique(x.columns, return_inverse=True)
     counts = np.bincount(codes)
-    # a feature whose first gradient is well below the penalty is not looked at
+    # a feature whose first gradient is small is not looked at; sums, not products: BLAS threads would spin
     first = np.abs(np.bincount(codes, weights=(y - y.mean())[x.row])) * np.sqrt(len(y) / counts).clip(max=20)
-    frequent = (counts >= 4) & (first > penalty)
+    frequent = (counts >= 4) & (first > SCREEN)
     place = np.cumsum(frequent) - 1
     keep = frequent[codes]
     small = Sparse([])
@@ -122,24 +124,26 @@ def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, penalty: float = 0
 
     def margins(w: np.ndarray) -> np.ndarray:
         u = w * scale
-        return small.dot(u[:m]) + earlier @ u[m : m + extra] + u[-1]
+        return small.dot(u[:m]) + (earlier * u[m : m + extra]).sum(axis=1) + u[-1]
 
     step = 4.0 / (len(y) * (1 + extra * 4) + (np.bincount(small.row, weights=(scale[:m] ** 2)[small.columns], minlength=small.n)).max())
-    loss = lambda z: np.logaddexp(0, z).sum() - y @ z
+    loss = lambda z: np.logaddexp(0, z).sum() - (y * z).sum()
     for _ in range(steps):
         z = margins(v)
         r = sigmoid(z) - y
-        g = np.concatenate((small.back(r, m), earlier.T @ r, [r.sum()])) * scale
+        g = np.concatenate((small.back(r, m), (earlier * r[:, None]).sum(axis=0), [r.sum()])) * scale
         base = loss(z)
-        step *= 1.6
+        step *= 1.15
         while True:
             new = v - step * g
             limit = step * penalty
             new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - limit, 0)
             d = new - v
-            if loss(margins(new)) <= base + g @ d + (d @ d) / (2 * step) + 1e-9:
+            if loss(margins(new)) <= base + (g * d).sum() + (d * d).sum() / (2 * step) + 1e-9:
                 break
             step /= 2
+        if ((v - new) * (new - w)).sum() > 0:  # the momentum points uphill: start it anew
+            t = 1.0
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / nxt * (new - w)
         w, t = new, nxt
@@ -175,7 +179,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, names: tuple[str, ...], fo
         for fold in np.unique(folds) if k + 1 < len(names) else ():
             inside = folds != fold
             part = fit_linear(x.take(inside), seen[inside], y[inside])
-            out[~inside] = sigmoid(x.take(~inside).dot(part.weights) + seen[~inside] @ part.earlier + part.bias)
+            out[~inside] = sigmoid(x.take(~inside).dot(part.weights) + (seen[~inside] * part.earlier).sum(axis=1) + part.bias)
         models.append(fit_linear(x, seen, y))
         seen = np.column_stack((seen, out))
     return Chain(names, models)
