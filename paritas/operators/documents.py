@@ -178,18 +178,37 @@ def distance_means(df: DataFrame, key: str, seed: str, stratum: str, vec: str =
     return one.select(F.explode(rows).alias("r")).select("r.level", F.col("r.n").cast("long").alias("n"), (F.lit(1.0) - F.try_divide(F.col("r.d"), F.col("r.n"))).alias("mean"))
 
 
-def pair_distances(df: DataFrame, key: str, seed: str, stratum: str, vec: str = "vec", within_seed: bool = False) -> DataFrame:
+def pair_distances(df: DataFrame, key: str, seed: str, stratum: str, vec: str = "vec", within_seed: bool = False, block: int = 1024) -> DataFrame:
     """Every pair of rows with its cosine distance and level: for medians and percentiles, which need pairs.
 
-    The number of pairs grows with the square of the corpus (of a seed, if ``within_seed``); this is the feature.
+    Rows fall into blocks by a hash of the key; each pair of blocks (of a seed, if ``within_seed``) is one task's
+    product of two small matrices. The number of pairs grows with the square of the corpus; this is the feature.
     """
-    side = lambda s: df.select(F.col(key).alias(f"k{s}"), F.col(seed).alias(f"s{s}"), F.col(stratum).alias(f"t{s}"), F.col(vec).alias(f"v{s}"))
-    a, b = side("a"), side("b")
-    on = F.col("ka") < F.col("kb")
-    pairs = a.join(b, on & (F.col("sa") == F.col("sb")) if within_seed else on)
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    level = F.when(F.col("sa") != F.col("sb"), LEVELS[2]).when(F.col("ta") == F.col("tb"), LEVELS[0]).otherwise(LEVELS[1])
-    return pairs.select("ka", "kb", F.col("sa").alias("seed"), level.alias("level"), (F.lit(1.0) - dot).alias("distance"))
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = max(1, -(-df.count() // block))
+    rows = df.select(F.col(key).alias("k"), F.col(seed).alias("s"), F.col(stratum).alias("t"), F.col(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    copies = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "s", "t", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    types = dict(rows.dtypes)
+
+    def product(table: pa.Table) -> pa.Table:
+        k, s, t, b = (table.column(c).to_numpy() for c in ("k", "s", "t", "b"))
+        order = np.argsort(k, kind="stable")
+        k, s, t, b = k[order], s[order], t[order], b[order]
+        m = np.array(table.column("v").to_pylist(), dtype=float).reshape(len(k), -1)[order]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        first, second = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        near = 1.0 - np.einsum("id,jd->ij", m[first], m[second])
+        x, y = np.triu_indices(len(first), 1) if i == j else tuple(z.ravel() for z in np.indices((len(first), len(second))))
+        d, x, y = near[x, y], first[x], second[y]
+        x, y = np.minimum(x, y), np.maximum(x, y)  # rows are in the order of their keys
+        level = np.where(s[x] != s[y], 2, np.where(t[x] == t[y], 0, 1))
+        names = pa.array(LEVELS).take(pa.array(level.astype(np.int32)))
+        return pa.table({"ka": pa.array(k[x]), "kb": pa.array(k[y]), "seed": pa.array(s[x]), "level": names, "distance": pa.array(d)})
+
+    cells = ["i", "j", "s"] if within_seed else ["i", "j"]
+    return copies.groupBy(*cells).applyInArrow(product, f"ka {types['k']}, kb {types['k']}, seed {types['s']}, level string, distance double")
 
 
 def summarise(df: DataFrame, value: str, cells: Sequence[str] = ()) -> DataFrame:
