@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,22 @@ def words_of(text: str | None) -> list[bytes]:
     return _MARK.sub(b" ", raw).split()
 
 
+#: How the byte level of the vocabulary writes bytes: visible Latin-1 characters stand for themselves, the others, in
+#: order, for the characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+def _as_bytes(word: bytes) -> str | None:
+    """What the normaliser and the splitter make of a word of lower-case Latin letters; None for any other word."""
+    if word.isalpha() and word.islower():
+        return word.decode()
+    text = word.decode()
+    if text.isalpha() and max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text):
+        return word.decode("latin-1").translate(_BYTE_LEVEL)
+    return None
+
+
 class WordCachedEncoder:
     """Ids of the tokenizers library, word by word.
 
@@ -70,12 +87,18 @@ class WordCachedEncoder:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = every
-        missing = list(new)
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = e.ids
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for word in new:
+            plain = _as_bytes(word)
+            if plain is None:
+                other.append(word)
+            else:
+                ids = [token.id for token in tokenize(plain)]
                 (cache if len(word) <= CACHE_BYTES else extra)[word] = pack(f"<{len(ids)}I", *ids)
+        for at in range(0, len(other), 10_000):
+            part = other[at : at + 10_000]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                (cache if len(word) <= CACHE_BYTES else extra)[word] = pack(f"<{len(e.ids)}I", *e.ids)
         if extra:
             return [b"".join([cache[w] if w in cache else extra[w] for w in words]) for words in lists]
         return [b"".join(map(cache.__getitem__, words)) for words in lists]
