@@ -65,6 +65,22 @@ def _as_bytes(word: bytes) -> str | None:
     return None
 
 
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit integers; a word that is not there is encoded when it is asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        plain = _as_bytes(word)
+        ids = [t.id for t in self.tokenize(plain)] if plain is not None else self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        raw = pack(f"<{len(ids)}I", *ids)
+        if len(word) <= CACHE_BYTES:
+            self[word] = raw
+        return raw
+
+
 class WordCachedEncoder:
     """Ids of the tokenizers library, word by word.
 
@@ -77,31 +93,16 @@ class WordCachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.cache: dict[bytes, bytes] = {}
+        self.ids = WordIds(self.tokenizer)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        lists = [words_of(text) for text in texts]
-        every = set().union(*lists)
-        cache, new, extra = self.cache, every.difference(self.cache), {}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = every
-        tokenize, other = self.tokenizer.model.tokenize, []
-        for word in new:
-            plain = _as_bytes(word)
-            if plain is None:
-                other.append(word)
-            else:
-                ids = [token.id for token in tokenize(plain)]
-                (cache if len(word) <= CACHE_BYTES else extra)[word] = pack(f"<{len(ids)}I", *ids)
-        for at in range(0, len(other), 10_000):
-            part = other[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                (cache if len(word) <= CACHE_BYTES else extra)[word] = pack(f"<{len(e.ids)}I", *e.ids)
-        if extra:
-            return [b"".join([cache[w] if w in cache else extra[w] for w in words]) for words in lists]
-        return [b"".join(map(cache.__getitem__, words)) for words in lists]
+        out = []
+        for text in texts:
+            if len(self.ids) > CACHE_WORDS:
+                self.ids.clear()
+            out.append(b"".join(map(self.ids.__getitem__, words_of(text))))
+        return out
 
 
 def _encoder(spec) -> WordCachedEncoder:
