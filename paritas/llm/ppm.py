@@ -138,8 +138,12 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts the trees on the sample; ids are chosen first, then only their texts are read."""
     rows = pick(docs, id_col, text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    chosen = [r[0] for r in rows.select(id_col, lang_col).withColumn("rank", rank).where(F.col("rank") <= train_docs).select(id_col).collect()]
+    # by the size of a language, a bound on the hash under which four times the wanted documents lie: no task ranks more
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    bounds = [F.when(F.col(lang_col) == lang, F.lit(min((1 << 63) - 1, int((1 << 64) * 4 * train_docs / n) - (1 << 63)))) for lang, n in sizes.items()]
+    few = rows.select(id_col, lang_col).withColumn("hash", F.xxhash64(id_col)).where(F.col("hash") <= F.coalesce(*bounds) if bounds else F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy("hash", id_col))
+    chosen = [r[0] for r in few.withColumn("rank", rank).where(F.col("rank") <= train_docs).select(id_col).collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("ppm")
