@@ -26,7 +26,7 @@ from paritas.llm.common import pick, with_column, worker_state
 
 LONG_PIECE = 256
 #: Pieces that a worker keeps; characters of the longest; pieces of texts handled together; token rows in one query.
-CACHE_PIECES, CACHE_CHARS, RUN, ROWS = 700_000, 64, 200_000, 200_000
+CACHE_PIECES, CACHE_CHARS, RUN, ROWS = 700_000, 64, 200_000, 100_000
 #: Characters of the texts that are encoded together; a longer one goes by itself, in runs.
 GROUP = 2_000_000
 
