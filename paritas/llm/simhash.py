@@ -284,30 +284,38 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
     return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
 
 
-#: Whole documents: five-word shingles, 256 bits, at most 40 of them different. Two texts whose sets of shingles have
-#: similarity 0.8 differ in 39 bits on average, those of 0.9 in 27, of 0.6 in 59, strangers in 128 (deviation 5 to 8).
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 4, 40
-#: Bits of a block. Similar fingerprints agree in one of the 21 blocks with a chance of 0.957 at similarity 0.8, 0.989 at
-#: 0.85, 0.999 at 0.9. A block value holds n / 4096 documents; over some 20 million documents take 16 and more words.
-WIDE_BLOCK = 12
-#: Documents that balance the 21 trees, whose size this bounds.
+#: Whole documents: sets of five-word shingles are near duplicates at a Jaccard similarity of ``WIDE_SIMILARITY`` or more.
+WIDE_SHINGLE, WIDE_SIMILARITY = 5, 0.8
+#: Candidates: fingerprints of 640 bits that agree in one of 50 blocks of 12 bits (five a word; the top 4 bits of a word are
+#: in no block) and differ in at most 64 of the first 256 bits. Each bit of two large sets at 0.8 differs with a chance of
+#: 0.1515: 39 of 256 bits (deviation 5.7), and a block agrees with a chance of 0.139, one of 50 with 0.9994. The worst are
+#: sets of 4 and 5 shingles: 0.1875 a bit, 48 bits (deviation 6.2), 0.987 for the blocks. Strangers differ in 128.
+#: A block value holds n / 4096 documents; over some 20 million documents take 16 bits and more words.
+WIDE_WORDS, WIDE_BLOCK, WIDE_COMPARED, WIDE_RADIUS = 10, 12, 4, 64
+#: Documents that balance the 50 trees, whose size this bounds.
 WIDE_SAMPLE = 8192
 
 
-def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE, words_: int = WIDE_WORDS) -> np.ndarray:
-    """Majority bits over hashes of 64 * ``words_`` bits; zero for a text without words."""
+def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """The set of a text's word shingles, as sorted hashes; a text of fewer words is one shingle, none without words."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if not words:
-        return np.zeros(words_, np.uint64)
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) <= size else map(b" ".join, zip(*(words[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))  # the set of shingles
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, words_: int = WIDE_WORDS) -> np.ndarray:
+    """Majority bits over hashes of 64 * ``words_`` bits of a set of shingles; zero for an empty set."""
+    if not len(hashes):
+        return np.zeros(words_, np.uint64)
     counts = np.zeros(64 * words_, np.int64)
     for at in range(0, len(hashes), 16_384):
         part = hashes[at : at + 16_384]
         with np.errstate(over="ignore"):
             wide = np.stack([_spread(part + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64))) for i in range(words_)], axis=1)
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.uint16)
     return np.packbits(2 * counts > len(hashes)).view(np.uint64)
 
 
@@ -359,23 +367,52 @@ def _compress(pairs: list[tuple[int, int]], names: np.ndarray) -> list[tuple[int
     return [(x, root) for x in list(parent) if (root := find(x)) != x]
 
 
-def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, size: int = WIDE_SHINGLE, sample: int = WIDE_SAMPLE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def set_links(sets: list[np.ndarray], similarity: float = WIDE_SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect all sets of exactly this Jaccard similarity or more.
+
+    One set (the hub) is compared with all. Jaccard distance obeys the triangle bound: a set linked to the hub can only be
+    linked to another set that is not, if that one is within twice the distance of the hub. Those are hubs later, so the
+    linked ones need not be.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    out, pending, must = [], np.ones(len(sets), bool), np.zeros(len(sets), bool)
+    while pending.any():
+        hub = int(np.flatnonzero(pending)[0])
+        common = np.bincount(owner[np.isin(every, sets[hub])], minlength=len(sets))
+        union = sizes + sizes[hub] - common
+        linked = common >= similarity * union - 1e-9 * union  # two empty sets are linked
+        out += [(int(i), hub) for i in np.flatnonzero(linked) if i != hub]
+        must |= ~linked & (common >= (2 * similarity - 1 - 1e-9) * union)
+        pending &= ~linked | must
+        pending[hub] = must[hub] = False
+    return out
+
+
+def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size: int = WIDE_SHINGLE, sample: int = WIDE_SAMPLE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document with an id: id, and ``component_id``, the smallest id among its near duplicates and their near duplicates.
 
     A vantage-point tree for each block of bits deals the fingerprints to shards (inside a block the radius is 0, so
-    nothing is copied within a tree); in a shard, fingerprints of equal block values are compared over all bits.
+    nothing is copied within a tree); in a shard, fingerprints of equal block values are compared. Documents that such
+    candidate links connect meet in one task, where their sets of shingles are compared: only exact links count.
+    Equal sets are merged before.
     """
-    rows = pick(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
+    rows = pick(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = [f"f{i}" for i in range(WIDE_WORDS)]
+    compared = parts[:WIDE_COMPARED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("simhash")
         for batch in batches:
-            fps = np.array([wide_fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).reshape(batch.num_rows, WIDE_WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE_WORDS))], names=["id", *parts])
-
-    prints = materialise(rows.mapInArrow(run, "id long, " + ", ".join(f"{p} long" for p in parts)), "wide")
-    distinct = materialise(prints.groupBy(*parts).agg(F.min("id").alias("least")), "wide-distinct")
+            fps, digests = np.zeros((batch.num_rows, WIDE_WORDS), np.uint64), []
+            for i, t in enumerate(batch.column(1)):
+                hashes = shingle_set(t.as_py(), size)
+                fps[i] = wide_fingerprint(hashes)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(WIDE_WORDS))], names=["id", "digest", *parts])
+
+    prints = materialise(rows.mapInArrow(run, "id long, digest binary, " + ", ".join(f"{p} long" for p in parts)), "wide")
+    distinct = materialise(prints.groupBy("digest", *parts).agg(F.min("id").alias("least")), "wide-distinct")
     spark, n = docs.sparkSession, distinct.count()
     least = distinct.select(*parts).orderBy(F.xxhash64(*parts), *parts).limit(sample).collect()
     got = np.array([tuple(r) for r in least], np.int64).reshape(-1, WIDE_WORDS).view(np.uint64)
@@ -389,39 +426,53 @@ def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, size: int = WI
         for batch in batches:
             fps = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(WIDE_WORDS)], axis=1).view(np.uint64)
             every, here = np.arange(len(fps)), np.ones(len(fps), bool)
-            found = [(k, number, at) for k, (tree, (w, _)) in enumerate(zip(sent.value, blocks)) for number, at, _ in route(tree, np.ascontiguousarray(fps[:, w]), every, here)]
+            found = []
+            for tree, (w, mask) in zip(sent.value, blocks):
+                word = np.ascontiguousarray(fps[:, w])
+                value = (word & np.uint64(mask)).view(np.int64)
+                found += [(number, at, value[at]) for number, at, _ in route(tree, word, every, here)]
             if found:
-                at = np.concatenate([a for _, _, a in found])
-                sizes = [len(a) for _, _, a in found]
-                rows = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x for _, x, _ in found], np.int32), sizes)), pa.array(np.repeat(np.array([k for k, _, _ in found], np.int32), sizes)), *rows.columns], names=["shard", "block", *parts, "least"])
+                kept = batch.select([*compared, "least"]).take(pa.array(np.concatenate([at for _, at, _ in found])))
+                numbers = np.repeat(np.array([x for x, _, _ in found], np.int32), [len(at) for _, at, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.concatenate([v for _, _, v in found])), *kept.columns], names=["shard", "value", *compared, "least"])
 
     def search(table: pa.Table) -> pa.Table:
-        fps = np.stack([table.column(p).to_numpy() for p in parts], axis=1).view(np.uint64)
-        ids = table.column("least").to_numpy()
-        w, mask = blocks[table.column("block")[0].as_py()]
-        value = fps[:, w] & np.uint64(mask)
+        fps = np.stack([table.column(p).to_numpy() for p in compared], axis=1).view(np.uint64)
+        ids, value = table.column("least").to_numpy(), table.column("value").to_numpy()
         order = np.argsort(value, kind="stable")
         edges = np.flatnonzero(np.diff(value[order])) + 1
         pairs: list[tuple[int, int]] = []
         for bucket in np.split(order, edges):
             if len(bucket) > 1:
-                pairs += [(int(bucket[a]), int(bucket[b])) for a, b in bucket_links(fps[bucket], radius)]
+                pairs += [(int(bucket[a]), int(bucket[b])) for a, b in bucket_links(fps[bucket], WIDE_RADIUS)]
         links = _compress(pairs, ids)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    dealt = distinct.select(*parts, "least").mapInArrow(deal, "shard int, block int, " + ", ".join(f"{p} long" for p in parts) + ", least long")
-    labels = components(dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct())
-    roots = distinct.join(labels.select(F.col("fp").alias("least"), "root"), "least", "left").select(*parts, F.coalesce("root", "least").alias("component_id"))
-    return prints.join(roots, parts).select(F.col("id").alias(id_col), "component_id")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["id", "hashes", "root"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+        links = _compress(set_links(sets, similarity), table.column("id").to_numpy())
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    dealt = distinct.select(*parts, "least").mapInArrow(deal, "shard int, value long, " + ", ".join(f"{p} long" for p in compared) + ", least long")
+    candidates = components(materialise(dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct(), "wide-candidates")).select(F.col("fp").alias("id"), "root")
+    sets = rows.join(candidates, "id").select("id", "text", "root").mapInArrow(gather, "id long, hashes binary, root long").dropDuplicates(["id", "hashes"])
+    labels = components(materialise(sets.groupBy("root").applyInArrow(verify, "a long, b long"), "wide-links"))
+    roots = distinct.join(labels.select(F.col("fp").alias("least"), "root"), "least", "left").select("digest", F.coalesce("root", "least").alias("component_id"))
+    return prints.join(roots, "digest").select(F.col("id").alias(id_col), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = WIDE_RADIUS, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id, with all its columns.
 
     Rows without an id stay, as they cannot be named; rows that repeat the smallest id all stay.
     """
-    ids = similar_documents(docs, radius, size, id_col=id_col, text_col=text_col)
+    ids = similar_documents(docs, similarity, size, id_col=id_col, text_col=text_col)
     names = list(docs.columns)
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     gone = ids.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
