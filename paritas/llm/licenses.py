@@ -26,8 +26,17 @@ from paritas.llm.common import LOWER, UPPER, pick
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Every rule's keyword holds one of these; a text without them has no detection.
-GATES = ("licen", "copyright", "domain", "permission", "spdx", "copyleft", "warrant", "redistribut", "reserved")
+#: Characters between words in the raw text.
+RAW_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Every match of a rule holds its keyword, and every keyword holds one of these: a text without them has no detection.
+GATES = (
+    "licen", "copyright", "domain", "permission", "spdx", "copyleft", "warrant", "redistribut", "reserved",
+    "gpl", "bsd", "cc ", "cc0", "creative commons", "cecill", "mit no attribution", "mulan", "wtfpl",
+)
+
+#: The first of these in a name is its keyword; all its matches hold it.
+NAME_KEYWORDS = ("gpl", "bsd license", "cecill", "cc0", "cc ", "creative commons", "mit no attribution", "mulan", "wtfpl", "permission notice", "licen", "bsd")
 
 #: Label, and the license's names as expressions over normalised words.
 NAMES = (
@@ -44,24 +53,41 @@ NAMES = (
     ("bsd-2-clause", "(bsd 2 clause|2 clause bsd|simplified bsd|freebsd) license"),
     ("bsd-3-clause", "(bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) license"),
     ("bsd-4-clause", "(bsd 4 clause|4 clause bsd|original bsd) license"),
-    ("bsd", "(bsd license|berkeley software distribution license)"),
+    ("bsd", "bsd license"),
+    ("bsd", "berkeley software distribution license"),
     ("bsl-1.0", "boost software license(( v| version)? 1( 0)?)?"),
     ("busl-1.1", "business source license(( v| version)? 1 1)?"),
-    ("cc0-1.0", "(cc0|cc zero|creative commons zero)( 1 0)?( universal)?( license)?"),
-    ("cc-by", "(cc|creative commons)( license)? (by|attribution)( license)?"),
-    ("cc-by-2.0", "(cc|creative commons) (by|attribution) 2 0"),
-    ("cc-by-2.5", "(cc|creative commons) (by|attribution) 2 5"),
-    ("cc-by-3.0", "(cc|creative commons) (by|attribution) 3 0"),
-    ("cc-by-4.0", "(cc|creative commons) (by|attribution) 4 0"),
-    ("cc-by-sa", "(cc|creative commons) (by|attribution) (sa|share ?alike)"),
-    ("cc-by-sa-3.0", "(cc|creative commons) (by|attribution) (sa|share ?alike) 3 0"),
-    ("cc-by-sa-4.0", "(cc|creative commons) (by|attribution) (sa|share ?alike) 4 0"),
-    ("cc-by-nc", "(cc|creative commons) (by|attribution) (nc|non ?commercial)"),
-    ("cc-by-nc-3.0", "(cc|creative commons) (by|attribution) (nc|non ?commercial) 3 0"),
-    ("cc-by-nc-4.0", "(cc|creative commons) (by|attribution) (nc|non ?commercial) 4 0"),
-    ("cc-by-nd-4.0", "(cc|creative commons) (by|attribution) (nd|no ?deriv(ative)?s) 4 0"),
-    ("cc-by-nc-sa-4.0", "(cc|creative commons) (by|attribution) (nc|non ?commercial) (sa|share ?alike) 4 0"),
-    ("cc-by-nc-nd-4.0", "(cc|creative commons) (by|attribution) (nc|non ?commercial) (nd|no ?deriv(ative)?s) 4 0"),
+    ("cc0-1.0", "cc0( 1 0)?( universal)?( license)?"),
+    ("cc0-1.0", "cc zero( 1 0)?( universal)?( license)?"),
+    ("cc0-1.0", "creative commons zero( 1 0)?( universal)?( license)?"),
+    ("cc-by", "cc (license )?(by|attribution)( license)?"),
+    ("cc-by", "creative commons( license)? (by|attribution)( license)?"),
+    ("cc-by-2.0", "cc (by|attribution) 2 0"),
+    ("cc-by-2.0", "creative commons (by|attribution) 2 0"),
+    ("cc-by-2.5", "cc (by|attribution) 2 5"),
+    ("cc-by-2.5", "creative commons (by|attribution) 2 5"),
+    ("cc-by-3.0", "cc (by|attribution) 3 0"),
+    ("cc-by-3.0", "creative commons (by|attribution) 3 0"),
+    ("cc-by-4.0", "cc (by|attribution) 4 0"),
+    ("cc-by-4.0", "creative commons (by|attribution) 4 0"),
+    ("cc-by-sa", "cc (by|attribution) (sa|share ?alike)"),
+    ("cc-by-sa", "creative commons (by|attribution) (sa|share ?alike)"),
+    ("cc-by-sa-3.0", "cc (by|attribution) (sa|share ?alike) 3 0"),
+    ("cc-by-sa-3.0", "creative commons (by|attribution) (sa|share ?alike) 3 0"),
+    ("cc-by-sa-4.0", "cc (by|attribution) (sa|share ?alike) 4 0"),
+    ("cc-by-sa-4.0", "creative commons (by|attribution) (sa|share ?alike) 4 0"),
+    ("cc-by-nc", "cc (by|attribution) (nc|non ?commercial)"),
+    ("cc-by-nc", "creative commons (by|attribution) (nc|non ?commercial)"),
+    ("cc-by-nc-3.0", "cc (by|attribution) (nc|non ?commercial) 3 0"),
+    ("cc-by-nc-3.0", "creative commons (by|attribution) (nc|non ?commercial) 3 0"),
+    ("cc-by-nc-4.0", "cc (by|attribution) (nc|non ?commercial) 4 0"),
+    ("cc-by-nc-4.0", "creative commons (by|attribution) (nc|non ?commercial) 4 0"),
+    ("cc-by-nd-4.0", "cc (by|attribution) (nd|no ?deriv(ative)?s) 4 0"),
+    ("cc-by-nd-4.0", "creative commons (by|attribution) (nd|no ?deriv(ative)?s) 4 0"),
+    ("cc-by-nc-sa-4.0", "cc (by|attribution) (nc|non ?commercial) (sa|share ?alike) 4 0"),
+    ("cc-by-nc-sa-4.0", "creative commons (by|attribution) (nc|non ?commercial) (sa|share ?alike) 4 0"),
+    ("cc-by-nc-nd-4.0", "cc (by|attribution) (nc|non ?commercial) (nd|no ?deriv(ative)?s) 4 0"),
+    ("cc-by-nc-nd-4.0", "creative commons (by|attribution) (nc|non ?commercial) (nd|no ?deriv(ative)?s) 4 0"),
     ("cddl-1.0", "common development and distribution license(( v| version)? 1( 0)?)?"),
     ("cecill-2.1", "cecill( license)?(( v| version)? 2 1)?"),
     ("cpal-1.0", "common public attribution license"),
@@ -114,7 +140,8 @@ NAMES = (
     ("upl-1.0", "universal permissive license(( v| version)? 1( 0)?)?"),
     ("vim", "vim license"),
     ("w3c", "w3c (software|document)( notice and)? license"),
-    ("wtfpl", "(wtfpl|do what the f[a-z]* you want to public license)"),
+    ("wtfpl", "wtfpl"),
+    ("wtfpl", "do what the f[a-z]* you want to public license"),
     ("x11", "x11 license"),
     ("zlib", "zlib( libpng)? license"),
     ("zpl-2.1", "zope public license(( v| version)? 2 1)?"),
@@ -167,10 +194,10 @@ def rules() -> list[Rule]:
         out.append(Rule(label, "licen", f"(opensource org|spdx org) licenses (licenses )?{tag}", 60, 0.9))
     out += [Rule(label, keyword, text, 80, score) for label, keyword, score, text in PHRASES]
     for label, name in NAMES:
-        out.append(Rule(label, "licen", f"(licen[cs]ed|released|distributed|available|published|used|covered)( only)? (under|by|with)( the terms of)?( the| a| an)? {name}", 70, 0.95))
+        keyword = next(k for k in NAME_KEYWORDS if k in name)
+        out.append(Rule(label, keyword, f"(licen[cs]ed|released|distributed|available|published|used|covered)( only)? (under|by|with)( the terms of)?( the| a| an)? {name}", 70, 0.95))
         out.append(Rule(label, "licen", f"(license|licence|licensing) (is |terms |type )?(the )?{name}", 65, 0.85))
-        if "licen" in name:
-            out.append(Rule(label, "licen", name, 50, 0.8))
+        out.append(Rule(label, keyword, name, 50, 0.8))
     return out
 
 
@@ -204,7 +231,7 @@ def _stronger(a: Column, b: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections, n_suppressed."""
     rows = pick(docs, id_col, text_col).select(id_col, F.coalesce(text_col, F.lit("")).alias("t_"))
-    gate = F.col("t_").rlike("(?i)" + "|".join(GATES))
+    gate = F.col("t_").rlike("(?i)" + "|".join(g.replace(" ", RAW_BREAK) for g in GATES))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("t_", UPPER, LOWER), BREAK, " ")), F.lit(" "))
     rows = rows.select(id_col, F.regexp_count("t_", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, norm).alias("norm"))
 

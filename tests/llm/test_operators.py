@@ -161,6 +161,48 @@ def test_license_rules_and_suppression(spark):
     assert all(r.keyword in r.expression for r in rules)
 
 
+def matches_of(expression, rng):
+    """A random text that the expression matches."""
+    import re._parser as parser
+
+    def one(tokens):
+        out = ""
+        for op, arg in tokens:
+            match str(op):
+                case "LITERAL":
+                    out += chr(arg)
+                case "SUBPATTERN":
+                    out += one(arg[3])
+                case "BRANCH":
+                    out += one(arg[1][int(rng.integers(0, len(arg[1])))])
+                case "MAX_REPEAT":
+                    out += "".join(one(arg[2]) for _ in range(int(rng.integers(arg[0], min(int(arg[1]), arg[0] + 2) + 1))))
+                case "IN":
+                    out += chr(arg[int(rng.integers(0, len(arg)))][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][int(rng.integers(0, 2))])
+                case _:
+                    raise ValueError(op)
+        return out
+
+    return one(parser.parse(expression))
+
+
+def test_license_keywords_lose_no_match(spark):
+    rng, rows, rules = np.random.default_rng(6), [], licenses.rules()
+    for at, rule in enumerate(rules):
+        for k in range(12):
+            text = matches_of(rule.expression, rng)
+            assert rule.keyword in f" {text} ", (rule, text)
+        rows.append((at, "Notes: " + text.upper().replace(" ", "-" if at % 2 else " \n") + "."))
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["labels"] and r["n_detections"] > 0, dict(rows)[r["doc_id"]]
+
+
+def test_license_statements_without_the_stem(spark):
+    texts = ["This work is released under CC BY-SA 4.0", "Distributed under the GNU GPL v3", "0BSD", "see LGPL-2.1", "used under Creative Commons Attribution 4.0", "an account of success"]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "cc-by-sa-4.0", 1: "gpl,gpl-3.0", 2: "0bsd", 3: "lgpl-2.1", 4: "cc-by-4.0", 5: ""}
+
+
 def test_warc_query(spark, sf, duck):
     got, first = result(spark, sf, "op5_warc", "page_id"), {}
     for page, html in duck.execute("SELECT page_id, html FROM pages ORDER BY page_id").fetchall():
