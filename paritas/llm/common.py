@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,15 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests in local mode) a temporary folder is used.
+    Where the setting is absent, a temporary folder is used in local mode; on a cluster that is an error, as executors
+    would write to folders that no one else sees.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="paritas-")
@@ -55,33 +60,62 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held in memory on both sides.
-BATCH_ROWS = 1000
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch, whichever is reached first (one row at least): a batch is held in memory on both
+#: sides, and a few long texts weigh as much as many short ones.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 _state: dict = {}
 
 
 def worker_state(owner: str) -> dict:
-    """What a Python worker keeps between tasks of one operator.
+    """What a Python worker keeps between tasks of one operator, or of one step of it.
 
-    Workers outlive operators; when another one begins, what the last one kept is given back to the system.
+    Workers outlive operators; when another owner begins, what the last one kept or left is given back to the system.
     """
     if _state.get("owner") != owner:
-        had = len(_state) > 1
+        used = bool(_state)
         _state.clear()
         _state["owner"] = owner
-        if had:
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        if used:
+            give_back()
     return _state
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless it has fewer."""
-    if int(spark.conf.get(_BATCH_CONF, "10000")) > BATCH_ROWS:
-        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    """Lower the session's rows and bytes per Arrow batch to ``BATCH_ROWS`` and ``BATCH_BYTES``, unless they are lower."""
+    for name, most in _BATCH_CONF.items():
+        now = spark.conf.get(name, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+#: A key is hot if it holds over one in so many rows; so there are at most so many hot keys, whatever the data.
+HOT_KEYS, SALTS = 1000, 64
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``many`` (a written table) with ``one``, whose rows are few a key.
+
+    Hot keys are dealt to ``SALTS`` tasks by a hash of the columns ``spread``, and their rows of ``one`` to each of them.
+    ``sizes``: ``keys`` and ``n``, if the rows of each key are known. Only the hot keys, at most ``HOT_KEYS``, are broadcast.
+    """
+    if sizes is None:
+        sizes = many.groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = F.broadcast(sizes.where(F.col("n") > many.count() / HOT_KEYS).select(*keys, F.lit(True).alias("hot_")))
+    salt = F.when(F.col("hot_"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.join(hot, keys, "left").withColumn("salt_", salt).drop("hot_")
+    right = one.join(hot, keys, "left").withColumn("salt_", F.explode(salts)).drop("hot_")
+    return left.join(right, [*keys, "salt_"]).drop("salt_")
 
 
 #: Words of 64 bits in a table of bits: 2 MB, whatever the data.

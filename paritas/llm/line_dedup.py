@@ -10,12 +10,14 @@ verified by the edit distance of the two lines.
 
 Before variants are made, a line must share its first or its second half with another line (if two lines are one
 edit apart, one half is untouched); only words of the other half can be the edit, so only those are left out. This
-is exact. Every shuffle is of hashes with a map-side combine, but for the texts of lines with a partner.
+is exact. Every shuffle is of hashes with a map-side combine, but for the texts of lines with a partner; joins on a
+line or a variant that many others share are dealt to many tasks (``join_hot``).
 
 Defined results: lines without a word stay and are never compared; null and empty texts have no lines and stay;
 of equal places (rows that repeat an id) the lines are one line, and both rows keep it; null ids stay whole and are
-not compared; a document whose lines with words all go is dropped by ``drop_duplicates``. ``min_words`` is part of the
-definition: shorter lines must be equal to be duplicates, as one word is most of what they say.
+not compared; a document whose lines with words all go is dropped by ``drop_duplicates``. A line of one word is a
+duplicate only of an equal line: without its word it is empty, and one edit from any other such line. ``min_words``
+can raise that bound.
 """
 
 from __future__ import annotations
@@ -28,18 +30,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import materialise, maybe_in, pick, word_bytes, worker_state
+from paritas.llm.common import join_hot, materialise, maybe_in, pick, word_bytes, worker_state
 
-#: Fewest words of a line that may be a near duplicate; shorter ones must be equal.
-MIN_WORDS = 5
+#: Fewest words of a line that has variants: without one word, another is left.
+MIN_WORDS = 2
 _LINE = "doc long, line int"
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Keys of a line's halves: (first, second) as the shorter and as the longer line of a pair."""
+def halves(words: list[bytes], min_words: int = MIN_WORDS) -> list[int | None]:
+    """Keys of a line's halves: (first, second) as the shorter and as the longer line of a pair, where there can be one."""
     n, out = len(words), []
     for s in (n, n - 1):  # the number of words of the shorter line
+        if s < min_words:
+            out += [None, None]
+            continue
         a = s // 2
         for tag, part in ((b"f%d " % s, words[:a]), (b"s%d " % s, words[len(words) - (s - a) :])):
             out.append(xxhash.xxh64_intdigest(tag + b" ".join(part)) - (1 << 63))
@@ -106,7 +111,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
     """A row per line with words: 128-bit hash, place, words, keys of halves (null for short lines)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("line_dedup")
+        worker_state("line_dedup.scan")
         names = ["h1", "h2", "doc", "line", "n", "k0", "k1", "k2", "k3"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -117,7 +122,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
                         if not words:
                             continue
                         h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, i, len(words), *(halves(words) if len(words) >= min_words else (None,) * 4)))
+                        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, i, len(words), *halves(words, min_words)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("line", "n") else pa.int64()) for n, c in zip(names, zip(*out))], names=names)
 
@@ -151,7 +156,7 @@ def _variants(candidates: DataFrame) -> DataFrame:
     """Rows (key, at, doc, line): the line without word ``at``, or the line itself with ``at`` = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("line_dedup")
+        worker_state("line_dedup.variants")
         for batch in batches:
             docs_, lines = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for begin in range(0, batch.num_rows, 2000):
@@ -176,21 +181,22 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     distinct = materialise(_distinct(_scan(docs, id_col, text_col, min_words)), "lines")
     halves_ = distinct.where(F.col("k0").isNotNull()).select(
         "doc", "line", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i % 2 == 0).alias("is_first")) for i in range(4)))).alias("k")
-    ).select("doc", "line", "k.key", "k.is_first")
+    ).select("doc", "line", "k.key", "k.is_first").where(F.col("key").isNotNull())
     shared = halves_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     wanted = halves_.join(shared, "key").groupBy("doc", "line").agg(F.bool_or("is_first").alias("first"), F.bool_or(~F.col("is_first")).alias("second"))
     candidates = materialise(_candidates(docs, materialise(wanted, "wanted"), id_col, text_col), "candidates")
     variants = materialise(_variants(candidates), "variants")
     # of the lines that leave out the same word of a key, the earliest; and lines that are the key
     by_word = variants.where("at >= 0").groupBy("key", "at").agg(F.min(place(F.col("doc"), F.col("line"))).alias("early"), F.count("*").alias("n")).where("n > 1")
-    found = variants.join(by_word, ["key", "at"]).select(place(F.col("doc"), F.col("line")).alias("late"), "early")
+    by_word = materialise(by_word, "by-word")
+    found = join_hot(variants, by_word.drop("n"), ["key", "at"], ["doc", "line"], by_word.select("key", "at", "n")).select(place(F.col("doc"), F.col("line")).alias("late"), "early")
     whole = variants.where("at = -1").select("key", place(F.col("doc"), F.col("line")).alias("whole"))
     shorter = variants.where("at >= 0").join(whole, "key")
     here = place(F.col("doc"), F.col("line"))
     longer = shorter.where(here > F.col("whole")).select(here.alias("late"), F.col("whole").alias("early"))
     back = shorter.where(here < F.col("whole")).groupBy("whole").agg(F.min(here).alias("early")).select(F.col("whole").alias("late"), "early")
     links = found.unionByName(longer).unionByName(back).where(F.col("early") < F.col("late")).distinct()
-    return distinct, _verified(candidates, links)
+    return distinct, _verified(candidates, materialise(links, "line-links"))
 
 
 def _verified(candidates: DataFrame, links: DataFrame) -> DataFrame:
@@ -199,9 +205,10 @@ def _verified(candidates: DataFrame, links: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def close(a: pa.Array, b: pa.Array) -> pa.Array:
+        worker_state("line_dedup.verified")
         return pa.array([within_one(word_bytes(x.as_py()), word_bytes(y.as_py())) for x, y in zip(a, b)], pa.bool_())
 
-    pairs = links.join(texts.select(F.col("at").alias("late"), F.col("text").alias("a")), "late").join(texts.select(F.col("at").alias("early"), F.col("text").alias("b")), "early")
+    pairs = join_hot(links, texts.select(F.col("at").alias("early"), F.col("text").alias("b")), ["early"], ["late"]).join(texts.select(F.col("at").alias("late"), F.col("text").alias("a")), "late")
     return pairs.where(close("a", "b")).select("late", "early").distinct()
 
 
@@ -229,7 +236,7 @@ def _applied(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, every
 
     @F.arrow_udf("struct<n_lines:long,n_kept:long,left:string>")
     def apply(texts: pa.Array, lists: pa.Array, whole: pa.Array) -> pa.Array:
-        worker_state("line_dedup")
+        worker_state("line_dedup.applied")
         out = []
         for t, k, w in zip(texts, lists, whole):
             lines = (t.as_py() or "").split("\n")
