@@ -5,17 +5,24 @@ one recursive DuckDB query: token-position rows join the merge table, each piece
 is contracted, until no pair is left that can be. Decoding joins ids with the vocabulary and aggregates their
 bytes in order. No shuffle; a worker's tables and caches have fixed bounds and rebuild themselves after a loss.
 
+The recursion writes all tokens of a piece that is not done anew in each step, so its rows grow with the square of
+the piece. A piece of over ``WINDOW`` bytes is therefore contracted in overlapping windows. Where the ids of two
+windows have one token in common, at the same place, no merge of the whole piece crosses either end of that token:
+a merge across an end would depend only on what stands between the ends and beyond this one, all of which one of the
+two windows holds, and neither made it. So the tokens up to there and those after it are the whole piece's. Where two
+windows have no such token, a longer one that begins with a token found so far takes their place, in the end one from
+the first byte. Every id comes out of the recursive query, and time is linear in the length of a piece.
+
 Defined results: a null text is an empty one with no tokens; repeated rows are each encoded; an empty table
 gives an empty one. Only the id and text columns are read. A text of any length is handled in bounded runs of
-pieces; a single piece longer than ``LONG_PIECE`` bytes (whose row-wise contraction would grow with the square
-of its length) is contracted by a heap with the same order of merges.
+pieces.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paritas.llm.common import pick, with_column, worker_state
 
-LONG_PIECE = 256
+#: Bytes of the windows of a long piece, and from one to the next.
+WINDOW, STRIDE = 128, 64
 #: Pieces that a worker keeps; characters of the longest; pieces of texts handled together; token rows in one query.
 CACHE_PIECES, CACHE_CHARS, RUN, ROWS = 700_000, 64, 200_000, 100_000
 #: Characters of the texts that are encoded together; a longer one goes by itself, in runs.
@@ -71,11 +79,13 @@ class Codec:
         self.con.register("merges_", merges)
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM tokens_; CREATE TABLE merges AS SELECT * FROM merges_")
         self.con.unregister("tokens_"), self.con.unregister("merges_")
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.ids: dict[str, bytes] = {}
 
-    def _contract(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of distinct pieces, by the recursive query, in groups of bounded size."""
-        out: list[bytes] = []
+    def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces, by the recursive query, in groups of bounded size."""
+        out: list[np.ndarray] = []
         at = 0
         while at < len(pieces):
             end, rows = at, 0
@@ -91,30 +101,59 @@ class Codec:
             got = self.con.execute(ENCODE).fetchnumpy()
             self.con.unregister("seed")
             words, toks = np.asarray(got["word"]), np.asarray(got["tok"]).astype("<u4")
-            cuts, raw = (4 * np.searchsorted(words, np.arange(len(part) + 1))).tolist(), toks.tobytes()
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            out += np.split(toks, np.searchsorted(words, np.arange(1, len(part))))
             at = end
         return out
 
-    def _heap(self, piece: bytes) -> bytes:
-        """Ids of one long piece: pairs leave a heap in the order of rank and place."""
-        n = len(piece)
-        right, left, end, live = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        rank = self.ranks.get
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not live[i] or (j := right[i]) >= n or end[j] != stop:
+    def _windows(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of over ``WINDOW`` bytes: their windows share queries, then each piece is put together."""
+        places = [(k, s) for k, p in enumerate(pieces) for s in range(0, len(p) - WINDOW + STRIDE, STRIDE)]
+        found: list[list[tuple[int, np.ndarray]]] = [[] for _ in pieces]
+        for (k, s), ids in zip(places, self._contract([pieces[k][s : s + WINDOW] for k, s in places])):
+            found[k].append((s, ids))
+        return [self._joined(p, windows) for p, windows in zip(pieces, found)]
+
+    def _joined(self, piece: bytes, windows: list[tuple[int, np.ndarray]]) -> bytes:
+        """The ids of a piece from those of its windows: (first byte, ids)."""
+        starts: list[int] = []  # of the tokens of piece[:done]
+        ids: list[int] = []
+        done, retry = 0, 2 * WINDOW
+
+        def take(first: int, part: np.ndarray) -> bool:
+            """Go on with a window's tokens behind one that both have."""
+            nonlocal done
+            sizes = self.size[part]
+            ends = first + np.cumsum(sizes)
+            begins = (ends - sizes).tolist()
+            some = 0
+            if first:
+                for some, begin in enumerate(begins, 1):
+                    at = bisect_left(starts, begin)
+                    if at < len(starts) and starts[at] == begin and ids[at] == part[some - 1]:
+                        break
+                else:
+                    return False
+                del starts[at + 1 :], ids[at + 1 :]
+            else:
+                starts.clear(), ids.clear()
+            starts.extend(begins[some:]), ids.extend(part[some:].tolist())
+            done = int(ends[-1])
+            return True
+
+        for s, part in windows:
+            if done and (s + WINDOW <= done or done == len(piece)):
+                continue
+            if take(s, part):
+                retry = max(2 * WINDOW, retry // 2)
                 continue
-            live[j], end[i], right[i] = False, stop, right[j]
-            if right[i] < n:
-                left[right[i]] = i
-                if (r := rank(piece[i : end[right[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[right[i]]))
-            if left[i] >= 0 and (r := rank(piece[left[i] : stop])) is not None:
-                heapq.heappush(heap, (r, left[i], stop))
-        return np.array([self.ranks[piece[i : end[i]]] for i in range(n) if live[i]], "<u4").tobytes()
+            size = retry  # grows while windows fail, so that few are tried
+            while True:
+                first = starts[max(0, bisect_left(starts, done - size // 2) - 1)]
+                if take(first, self._contract([piece[first : done + size // 2]])[0]):
+                    break
+                size *= 2
+            retry = min(2 * size, 8 * WINDOW)
+        return np.array(ids, "<u4").tobytes()
 
     def runs(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, so many at a time."""
@@ -138,17 +177,16 @@ class Codec:
             new = every
         extra: dict[str, bytes] = {}
         short: list[str] = []
+        long: list[str] = []
         for p in new:
             raw = p.encode()
             if (r := self.ranks.get(raw)) is not None:
                 self.ids[p] = r.to_bytes(4, "little")
-            elif len(raw) > LONG_PIECE:
-                extra[p] = self._heap(raw)
             else:
-                short.append(p)
-        if short:
-            for p, ids in zip(short, self._contract([p.encode() for p in short])):
-                (self.ids if len(p) <= CACHE_CHARS else extra)[p] = ids
+                (long if len(raw) > WINDOW else short).append(p)
+        for p, ids in zip(short, self._contract([p.encode() for p in short])):
+            (self.ids if len(p) <= CACHE_CHARS else extra)[p] = ids.tobytes()
+        extra.update(zip(long, self._windows([p.encode() for p in long])))
         known = self.ids
         if extra:
             return [b"".join([known[p] if p in known else extra[p] for p in pieces]) for pieces in lists]
