@@ -9,12 +9,12 @@ escape of -log2(D / (N + D)) and is looked for in the next shorter context; belo
 Code lengths are exact over whole texts. A worker looks up each distinct run of order + 1 bytes once per
 slice of texts and adds up per document. Texts are scored in one scan without a shuffle.
 
-The sample: per language the ``train_docs`` training documents of least hash of their id, and of each at most
-``train_bytes`` bytes; the bound on the fitted model is their product. Everything else reads whole texts.
+The sample: per language the ``train_docs`` distinct training documents of least hash of id and text, read whole.
+No other step is bounded: all texts are scored whole.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; if there is nothing to learn
-from, all get ``und``; repeated rows are each scored; null ids and languages are allowed (a null language is
-not learned from); equal code lengths go to the language that sorts first.
+from, all get ``und``; repeated rows are each scored, and learned from once; null ids and languages are allowed (a
+null language is not learned from, nor is a null id); equal code lengths go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from paritas.llm.common import has_letter, pick, worker_state
 
 ORDER = 4
-TRAIN_DOCS, TRAIN_BYTES = 400, 20_000
+#: Documents learned from, of each language.
+TRAIN_DOCS = 400
 UNKNOWN = "und"
 #: Bytes scored together.
 SLICE = 4_000_000
@@ -53,7 +54,7 @@ class Tree:
     """The frozen statistics of one language: per order, sorted packed grams with their code lengths."""
 
     def __init__(self, packed: np.ndarray, counts: np.ndarray, order: int):
-        self.order, self.levels = order, []
+        self.order, self.levels, self.total = order, [], int(counts.sum())
         for k in range(order + 1):
             keys, back = np.unique(packed & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
             n = np.bincount(back, weights=counts)
@@ -135,26 +136,33 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts the trees on the sample; ids are chosen first, then only their texts are read."""
-    rows = pick(docs, id_col, text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+def fit(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts the trees on the sample; its documents are chosen first, by hash, then only their texts go to Python."""
+    rows = pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     # by the size of a language, a bound on the hash under which four times the wanted documents lie: no task ranks more
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    bounds = [F.when(F.col(lang_col) == lang, F.lit(min((1 << 63) - 1, int((1 << 64) * 4 * train_docs / n) - (1 << 63)))) for lang, n in sizes.items()]
-    few = rows.select(id_col, lang_col).withColumn("hash", F.xxhash64(id_col)).where(F.col("hash") <= F.coalesce(*bounds) if bounds else F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy("hash", id_col))
-    chosen = [r[0] for r in few.withColumn("rank", rank).where(F.col("rank") <= train_docs).select(id_col).collect()]
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    bounds = [F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, int((1 << 64) * 4 * train_docs / n) - (1 << 63)))) for lang, n in sizes.items()]
+    hashed = rows.withColumn("hash", F.xxhash64("id", "text"))
+    few = hashed.where(F.col("hash") <= F.coalesce(*bounds) if bounds else F.lit(False)).select("lang", "hash").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= train_docs).select("lang", "hash")
+    last = {r[0]: r[1] for r in chosen.groupBy("lang").agg(F.max("hash")).collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("ppm")
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
-                packed, n = np.unique(grams(prepared(text.as_py()[:train_bytes])[:train_bytes], order), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(n)), pa.array(packed.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                raw = prepared(text.as_py())
+                for at in range(0, len(raw), SLICE):  # a very long text, piece by piece with its context
+                    packed, n = np.unique(grams(raw[max(0, at - order) : at + SLICE], order)[min(at, order) :], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(n)), pa.array(packed.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    if not chosen:
+    if not last:
         return Model({}, order)
-    found = rows.where(F.col(id_col).isin(chosen)).select(text_col, lang_col).mapInArrow(count, "lang string, gram bigint, n bigint")
+    within = [F.when(F.col("lang") == lang, F.lit(most)) for lang, most in last.items()]
+    sample = hashed.where(F.col("hash") <= F.coalesce(*within)).dropDuplicates(["lang", "hash"])
+    found = sample.select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint")
     table = found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs, packed, n = table.column("lang").to_numpy(), table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
     return Model({str(lang): (packed[langs == lang], n[langs == lang].astype(float)) for lang in sorted(set(langs))}, order)
