@@ -5,24 +5,29 @@ probabilities of all earlier categories; in training those are out-of-fold predi
 learn from what they will be given. Models are logistic regressions with an L1 penalty over hashed words and
 word beginnings; the penalty leaves few features, so that long clean texts do not add up to anything.
 
-Fitted on the ``train_docs`` labelled documents of least hash of their id (a documented bound; whole texts).
-All documents are scored over whole texts in one scan, without a shuffle; the model that is sent has at most
+The categories are those that the table of labels can tell (``CATEGORIES``: expressions over its columns). Fitted on
+the ``train_docs`` labelled documents of least hash of their id (a documented bound; whole texts). The folds of a
+category and its final model are fitted in tasks of their own, side by side; the driver only passes on what they
+give. All documents are scored over whole texts in one scan, without a shuffle; the model that is sent has at most
 2 * DIMENSIONS weights a category.
 
 Defined results: null and empty texts have no features and get the models' base rates; with no labelled rows
-all probabilities are 0; rows of ``labels`` without a text, with null labels or null ids are not learned from;
-repeated rows are each scored; ties at the threshold are toxic.
+all probabilities are 0; a category with one value in all rows has that value as its probability (but for rounding);
+rows of ``labels`` without a text, with a null id or a null in any category are not learned from; a document with
+several rows of labels is in a category if one of them says so; repeated rows are each scored, and learned from as
+often as they are there; ties at the threshold are toxic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritas.llm.common import pick, word_bytes, worker_state
@@ -32,15 +37,8 @@ TRAIN_DOCS, FOLDS, THRESHOLD = 3000, 3, 0.5
 #: Least first gradient, on the scale of the penalty, of a feature that is fitted.
 SCREEN = 3.0
 
-#: Plain English insults, for the weak labels of categories that the table of labels lacks.
-INSULTS = frozenset(b"idiot moron stupid loser clown scum trash worthless pathetic disgusting fool dumb jerk".split())
-
-#: In the order of the chain: name, and label from (toxic, distinct insults in the text).
-CATEGORIES = (
-    ("insult", lambda toxic, insults: toxic & (insults >= 1)),
-    ("toxic", lambda toxic, insults: toxic),
-    ("severe", lambda toxic, insults: toxic & (insults >= 3)),
-)
+#: In the order of the chain: name, and the category as an expression over the columns of the labels.
+CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 AND quality = 0"))
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -170,54 +168,88 @@ class Chain:
         return out
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, names: tuple[str, ...], folds: np.ndarray) -> Chain:
-    """``labels``: a column per category; ``folds``: the fold of each row."""
+def _job(x: Sparse, seen: np.ndarray, y: np.ndarray, folds: np.ndarray, fold: int | None) -> Linear | np.ndarray:
+    """The model of all rows; or what one of the other folds says about the rows of ``fold``."""
+    if fold is None:
+        return fit_linear(x, seen, y)
+    inside = folds != fold
+    part = fit_linear(x.take(inside), seen[inside], y[inside])
+    return sigmoid(x.take(~inside).dot(part.weights) + (seen[~inside] * part.earlier).sum(axis=1) + part.bias)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, names: tuple[str, ...], folds: np.ndarray, run: Callable | None = None) -> Chain:
+    """``labels``: a column per category; ``folds``: the fold of each row.
+
+    ``run``: from the arguments that the jobs of a category share, and their folds, to what the jobs give.
+    """
+    run = run or (lambda shared, wanted: [_job(*shared, fold) for fold in wanted])
     x, models = Sparse(rows), []
     seen = np.zeros((x.n, 0))
     for k in range(len(names)):
-        y, out = labels[:, k].astype(float), np.zeros(x.n)
-        for fold in np.unique(folds) if k + 1 < len(names) else ():
-            inside = folds != fold
-            part = fit_linear(x.take(inside), seen[inside], y[inside])
-            out[~inside] = sigmoid(x.take(~inside).dot(part.weights) + (seen[~inside] * part.earlier).sum(axis=1) + part.bias)
-        models.append(fit_linear(x, seen, y))
+        some = np.unique(folds).tolist() if k + 1 < len(names) else []
+        model, *told = run((x, seen, labels[:, k].astype(float), folds), [None, *some])
+        models.append(model)
+        out = np.zeros(x.n)
+        for fold, p in zip(some, told):
+            out[folds == fold] = p
         seen = np.column_stack((seen, out))
     return Chain(names, models)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain | None:
+def in_tasks(spark: SparkSession) -> Callable:
+    """Jobs as Spark tasks, one each."""
+
+    def run(shared: tuple, wanted: list[int | None]) -> list:
+        sent = spark.sparkContext.broadcast(shared)  # of at most ``train_docs`` documents
+
+        def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_state("toxicity.fit")
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pickle.dumps(_job(*sent.value, wanted[at]))], pa.binary())], names=["at", "told"])
+
+        told = spark.range(0, len(wanted), 1, len(wanted)).mapInArrow(job, "at long, told binary").collect()
+        sent.unpersist()
+        return [pickle.loads(bytes(r["told"])) for r in sorted(told, key=lambda r: r["at"])]
+
+    return run
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", categories: tuple[tuple[str, str], ...] = CATEGORIES
+) -> Chain | None:
     """The chain, fitted on a bounded sample; None without labelled rows."""
-    known = pick(labels, id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    sample = known.orderBy(F.xxhash64(id_col), id_col).limit(train_docs)  # bounded, so broadcast
-    rows = pick(docs, id_col, text_col).where(F.col(text_col).isNotNull())
+    spark = docs.sparkSession
+    named = [f"y{k}" for k in range(len(categories))]
+    known = labels.select(F.col(id_col).alias("id"), *(F.expr(rule).cast("int").alias(n) for n, (_, rule) in zip(named, categories))).dropna()
+    known = known.groupBy("id").agg(*(F.max(n).alias(n) for n in named))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(train_docs)  # bounded, so broadcast
+    rows = pick(docs, id_col, text_col).toDF("id", "text").where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("toxicity")
         cache: dict = {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [features(t, cache) for t in texts]
-            insults = [len(INSULTS.intersection(word_bytes(t))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(insults, pa.int32())], names=["id", "y", "f", "insults"])
+            found = [features(t.as_py(), cache) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "f", *named])
 
-    kind = dict(rows.dtypes)[id_col]
-    got = rows.join(F.broadcast(sample), id_col).select(id_col, text_col, F.col("y").cast("int").alias("y")).mapInArrow(run, f"id {kind}, y int, f array<int>, insults int").toArrow()
+    kind = dict(rows.dtypes)["id"]
+    got = rows.join(F.broadcast(sample), "id").select("id", "text", *named).mapInArrow(run, f"id {kind}, f array<int>, " + ", ".join(f"{n} int" for n in named)).toArrow()
     if not got.num_rows:
         return None
     ids = got.column("id").to_pylist()
     order = np.array(sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(str(ids[i])), i)))
     f = got.column("f").to_pylist()
-    toxic, insults = got.column("y").to_numpy()[order] > 0, got.column("insults").to_numpy()[order]
-    columns = np.column_stack([rule(toxic, insults) for _, rule in CATEGORIES])
-    return train([np.array(f[i], np.int64) for i in order], columns, tuple(n for n, _ in CATEGORIES), np.arange(len(ids)) % folds)
+    columns = np.column_stack([got.column(n).to_numpy()[order] > 0 for n in named])
+    return train([np.array(f[i], np.int64) for i in order], columns, tuple(n for n, _ in categories), np.arange(len(ids)) % folds, in_tasks(spark))
 
 
-def score(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ``toxic``, and a probability ``p_<category>`` for each category of the chain."""
+def score(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", decide: str = "toxic") -> DataFrame:
+    """Per document: id, a probability ``p_<category>`` for each category of the chain, and whether ``decide``'s reaches the threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     rows = pick(docs, id_col, text_col)
     id_type = rows.schema[0].dataType.simpleString()
-    names = [n for n, _ in CATEGORIES]
+    names = list(chain.names) if chain else [n for n, _ in CATEGORIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("toxicity")
@@ -245,4 +277,4 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD, id
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], names=[id_col, *(f"p_{n}" for n in names)])
 
     scored = rows.mapInArrow(run, f"{id_col} {id_type}, " + ", ".join(f"p_{n} double" for n in names))
-    return scored.select(id_col, (F.col("p_toxic") >= threshold).alias("toxic"), *(f"p_{n}" for n in names))
+    return scored.select(id_col, (F.col(f"p_{decide}") >= threshold).alias(decide), *(f"p_{n}" for n in names))
