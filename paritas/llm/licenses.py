@@ -1,261 +1,139 @@
 """License scans with ordered signature rules, in DataFrame expressions only.
 
-A text is gated by a few keywords; only texts that pass are normalised (words in lower case, one blank between
-them) and matched. A rule has a keyword, a regular expression over the normalised words, a label, a priority and a
-score; its expression runs only where its keyword occurs. Of overlapping detections, one that lies inside another
-of higher priority (or of equal priority and greater length) is suppressed. Everything is one projection over the
+A text is gated by a few word stems; only texts that have one are normalised (words in lower case, one blank between
+them) and matched. The rules (``license_rules``: some 380 by hand) stand in passes. A pass runs where its keyword
+occurs; its expression, one alternation that is compiled once, takes at each place the first rule that matches, and
+marks the words. Detections are then word intervals; one that lies inside a detection of an earlier pass is suppressed:
+one sweep over the intervals, sorted by start, keeps the last end of each pass. Everything is one projection over the
 scan: no shuffle, no Python.
 
-Rules come from tables of names (fixed values) and a few templates, and from phrases of license texts.
-
-Defined results: a null text is an empty one (no words, no labels, score 0); repeated rows are each scanned; an
-empty table gives an empty result; only the id and text columns are read. A text is scanned whole; time is linear
-in its length but for the few detections of a rule, whose places are summed for each.
+Defined results: a null text is an empty one (no words, no labels, score 0); repeated rows are each scanned; an empty
+table gives an empty result; only the id and text columns are read. Two detections of one pass never overlap; of two
+with the same words, that of the earlier pass stays. A text is scanned whole, in time linear in its length (the sweep
+copies a byte for each detection before the one that it looks at).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import LOWER, UPPER, pick
+from paritas.llm.common import pick
+from paritas.llm.license_rules import PASSES, Pass
 
-#: Words in the raw text: upper case is part of them.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is between words in the raw text, and in a text in lower case: one by one, as the regular expressions of the
+#: JVM look single characters up in a table, but try ranges in turn.
+RAW_GAP = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+GAP = RAW_GAP + "".join(f"\\x{c:02X}" for c in range(65, 91))
 
-#: Characters between words in the raw text.
-RAW_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-#: Every match of a rule holds its keyword, and every keyword holds one of these: a text without them has no detection.
+#: Every match of a rule holds one of these, or "cc" before one of ``CC``: a text without them has no detection.
 GATES = (
-    "licen", "copyright", "domain", "permission", "spdx", "copyleft", "warrant", "redistribut", "reserved",
-    "gpl", "bsd", "cc ", "cc0", "creative commons", "cecill", "mit no attribution", "mulan", "wtfpl",
+    "licen", "copyright", "domain", "permission", "spdx", "copyleft", "warrant", "redistribut", "reserved", "gpl", "bsd", "cc0",
+    "creative", "attribution", "apache", "cecill", "mulan", "wtfpl",
 )
-
-#: The first of these in a name is its keyword; all its matches hold it.
-NAME_KEYWORDS = ("gpl", "bsd license", "cecill", "cc0", "cc ", "creative commons", "mit no attribution", "mulan", "wtfpl", "permission notice", "licen", "bsd")
-
-#: Label, and the license's names as expressions over normalised words.
-NAMES = (
-    ("0bsd", "(zero clause bsd|bsd zero clause|0bsd)"),
-    ("afl-3.0", "academic free license( v| version)? 3( 0)?"),
-    ("agpl-3.0", "(gnu )?affero general public license(( v| version)? ?3)?"),
-    ("agpl-3.0", "agpl( v| version)? ?3( 0)?"),
-    ("apache-1.1", "apache( software)? license( v| version)? 1 1"),
-    ("apache-2.0", "apache( software)? license( v| version)? 2( 0)?"),
-    ("artistic-1.0", "artistic license( v| version)? 1( 0)?"),
-    ("artistic-2.0", "artistic license( v| version)? 2( 0)?"),
-    ("beerware", "beer ?ware license"),
-    ("blueoak-1.0.0", "blue oak model license( 1 0 0)?"),
-    ("bsd-2-clause", "(bsd 2 clause|2 clause bsd|simplified bsd|freebsd) license"),
-    ("bsd-3-clause", "(bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) license"),
-    ("bsd-4-clause", "(bsd 4 clause|4 clause bsd|original bsd) license"),
-    ("bsd", "bsd license"),
-    ("bsd", "berkeley software distribution license"),
-    ("bsl-1.0", "boost software license(( v| version)? 1( 0)?)?"),
-    ("busl-1.1", "business source license(( v| version)? 1 1)?"),
-    ("cc0-1.0", "cc0( 1 0)?( universal)?( license)?"),
-    ("cc0-1.0", "cc zero( 1 0)?( universal)?( license)?"),
-    ("cc0-1.0", "creative commons zero( 1 0)?( universal)?( license)?"),
-    ("cc-by", "cc (license )?(by|attribution)( license)?"),
-    ("cc-by", "creative commons( license)? (by|attribution)( license)?"),
-    ("cc-by-2.0", "cc (by|attribution) 2 0"),
-    ("cc-by-2.0", "creative commons (by|attribution) 2 0"),
-    ("cc-by-2.5", "cc (by|attribution) 2 5"),
-    ("cc-by-2.5", "creative commons (by|attribution) 2 5"),
-    ("cc-by-3.0", "cc (by|attribution) 3 0"),
-    ("cc-by-3.0", "creative commons (by|attribution) 3 0"),
-    ("cc-by-4.0", "cc (by|attribution) 4 0"),
-    ("cc-by-4.0", "creative commons (by|attribution) 4 0"),
-    ("cc-by-sa", "cc (by|attribution) (sa|share ?alike)"),
-    ("cc-by-sa", "creative commons (by|attribution) (sa|share ?alike)"),
-    ("cc-by-sa-3.0", "cc (by|attribution) (sa|share ?alike) 3 0"),
-    ("cc-by-sa-3.0", "creative commons (by|attribution) (sa|share ?alike) 3 0"),
-    ("cc-by-sa-4.0", "cc (by|attribution) (sa|share ?alike) 4 0"),
-    ("cc-by-sa-4.0", "creative commons (by|attribution) (sa|share ?alike) 4 0"),
-    ("cc-by-nc", "cc (by|attribution) (nc|non ?commercial)"),
-    ("cc-by-nc", "creative commons (by|attribution) (nc|non ?commercial)"),
-    ("cc-by-nc-3.0", "cc (by|attribution) (nc|non ?commercial) 3 0"),
-    ("cc-by-nc-3.0", "creative commons (by|attribution) (nc|non ?commercial) 3 0"),
-    ("cc-by-nc-4.0", "cc (by|attribution) (nc|non ?commercial) 4 0"),
-    ("cc-by-nc-4.0", "creative commons (by|attribution) (nc|non ?commercial) 4 0"),
-    ("cc-by-nd-4.0", "cc (by|attribution) (nd|no ?deriv(ative)?s) 4 0"),
-    ("cc-by-nd-4.0", "creative commons (by|attribution) (nd|no ?deriv(ative)?s) 4 0"),
-    ("cc-by-nc-sa-4.0", "cc (by|attribution) (nc|non ?commercial) (sa|share ?alike) 4 0"),
-    ("cc-by-nc-sa-4.0", "creative commons (by|attribution) (nc|non ?commercial) (sa|share ?alike) 4 0"),
-    ("cc-by-nc-nd-4.0", "cc (by|attribution) (nc|non ?commercial) (nd|no ?deriv(ative)?s) 4 0"),
-    ("cc-by-nc-nd-4.0", "creative commons (by|attribution) (nc|non ?commercial) (nd|no ?deriv(ative)?s) 4 0"),
-    ("cddl-1.0", "common development and distribution license(( v| version)? 1( 0)?)?"),
-    ("cecill-2.1", "cecill( license)?(( v| version)? 2 1)?"),
-    ("cpal-1.0", "common public attribution license"),
-    ("cpl-1.0", "common public license(( v| version)? 1( 0)?)?"),
-    ("ecl-2.0", "educational community license(( v| version)? 2( 0)?)?"),
-    ("efl-2.0", "eiffel forum license"),
-    ("elastic-2.0", "elastic license(( v| version)? 2( 0)?)?"),
-    ("epl-1.0", "eclipse public license( v| version)? 1( 0)?"),
-    ("epl-2.0", "eclipse public license( v| version)? 2( 0)?"),
-    ("eupl-1.2", "european union public licen[cs]e(( v| version)? ?1 2)?"),
-    ("gfdl", "(gnu )?free documentation license"),
-    ("gfdl-1.3", "(gnu )?free documentation license( v| version)? 1 3"),
-    ("gpl", "(gnu )?general public license"),
-    ("gpl", "gnu gpl"),
-    ("gpl-2.0", "(gnu )?general public license( v| version)? ?2( 0)?"),
-    ("gpl-2.0", "gpl( v| version)? ?2( 0)?"),
-    ("gpl-3.0", "(gnu )?general public license( v| version)? ?3( 0)?"),
-    ("gpl-3.0", "gpl( v| version)? ?3( 0)?"),
-    ("hpnd", "historical permission notice and disclaimer"),
-    ("isc", "(isc|internet systems consortium) license"),
-    ("lgpl", "(gnu )?(lesser|library) general public license"),
-    ("lgpl-2.1", "(gnu )?lesser general public license( v| version)? ?2 1"),
-    ("lgpl-3.0", "(gnu )?lesser general public license( v| version)? ?3( 0)?"),
-    ("lgpl-2.1", "lgpl( v| version)? ?2 1"),
-    ("lgpl-3.0", "lgpl( v| version)? ?3( 0)?"),
-    ("lppl-1.3c", "latex project public license"),
-    ("mit", "(mit|expat) license"),
-    ("mit", "(mit|x11) style license"),
-    ("mit-0", "mit no attribution( license)?"),
-    ("mpl-1.1", "mozilla public license( v| version)? 1 1"),
-    ("mpl-2.0", "mozilla public license( v| version)? 2( 0)?"),
-    ("ms-pl", "microsoft public license"),
-    ("ms-rl", "microsoft reciprocal license"),
-    ("mulanpsl-2.0", "mulan (psl|permissive software license)(( v| version)? ?2)?"),
-    ("ncsa", "university of illinois ncsa open source license"),
-    ("odbl-1.0", "open (data commons open )?database license(( v| version)? 1( 0)?)?"),
-    ("ofl-1.1", "(sil )?open font license(( v| version)? 1 1)?"),
-    ("openssl", "openssl license"),
-    ("osl-3.0", "open software license(( v| version)? 3( 0)?)?"),
-    ("pddl-1.0", "public domain dedication and license"),
-    ("php-3.01", "php license(( v| version)? 3 01)?"),
-    ("polyform-noncommercial-1.0.0", "polyform noncommercial license( 1 0 0)?"),
-    ("postgresql", "postgresql license"),
-    ("psf-2.0", "(psf|python software foundation) license(( v| version)? 2)?"),
-    ("python-2.0", "python license(( v| version)? 2( 0)?)?"),
-    ("qpl-1.0", "q public license"),
-    ("ruby", "ruby license"),
-    ("sspl-1.0", "server side public license"),
-    ("unlicense", "(the )?unlicense"),
-    ("upl-1.0", "universal permissive license(( v| version)? 1( 0)?)?"),
-    ("vim", "vim license"),
-    ("w3c", "w3c (software|document)( notice and)? license"),
-    ("wtfpl", "wtfpl"),
-    ("wtfpl", "do what the f[a-z]* you want to public license"),
-    ("x11", "x11 license"),
-    ("zlib", "zlib( libpng)? license"),
-    ("zpl-2.1", "zope public license(( v| version)? 2 1)?"),
-)
-
-#: Label, keyword, score, phrase of the license's text or of a notice.
-PHRASES = (
-    ("mit", "permission", 0.95, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", 0.9, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribut", 0.9, "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("zlib", "warrant", 0.9, "this software is provided as is without any express or implied warranty"),
-    ("gpl", "warrant", 0.8, "without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl-3.0", "copyleft", 0.9, "free copyleft license for software and other kinds of works"),
-    ("unlicense", "domain", 0.95, "free and unencumbered software released into the public domain"),
-    ("public-domain", "domain", 0.8, "(released|dedicated|placed) (in|into|to) the public domain"),
-    ("public-domain", "domain", 0.6, "is in the public domain"),
-    ("bsl-1.0", "permission", 0.9, "permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("cc0-1.0", "copyright", 0.9, "waive all copyright and related (or|and) neighboring rights"),
-    ("proprietary", "reserved", 0.5, "all rights reserved"),
-    ("proprietary", "permission", 0.6, "without (the )?(prior )?(express )?written permission"),
-    ("proprietary", "licen", 0.6, "proprietary (software )?license"),
-    ("copyleft", "copyleft", 0.4, "copyleft"),
-    ("copyright", "copyright", 0.3, "copyright( c)? (19|20)[0-9][0-9]"),
-    ("apache-2.0", "licen", 0.95, "you may not use this file except in compliance with the license"),
-    ("apache-2.0", "licen", 0.9, "see the license for the specific language governing permissions and limitations"),
-    ("mpl-2.0", "licen", 0.95, "this source code form is subject to the terms of the mozilla public license"),
-    ("gpl", "redistribut", 0.9, "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribut", 0.9, "redistribute it and or modify it under the terms of the gnu lesser general public license"),
-)
+CC = ("by", "attribution", "zero", "licen")
 
 #: The three phrases that count as base detections.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+BASE_SCORE = 0.8
 
+#: Marks of the first and the last word of a detection; no normalised word has them.
+_OPEN, _CLOSE = "\x01", "\x02"
 
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keyword: str
-    expression: str
-    priority: int
-    score: float
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{RAW_GAP}]++")).cast("long")
 
-def rules() -> list[Rule]:
-    """All rules, in order: SPDX tags, phrases of texts, licensing statements, addresses, and bare names."""
-    out = []
-    for label in dict.fromkeys(label for label, _ in NAMES):
-        tag = label.replace(".", " ").replace("-", " ")
-        out.append(Rule(label, "spdx", f"spdx license identifier {tag}( only| or later)?", 90, 1.0))
-        out.append(Rule(label, "licen", f"(opensource org|spdx org) licenses (licenses )?{tag}", 60, 0.9))
-    out += [Rule(label, keyword, text, 80, score) for label, keyword, score, text in PHRASES]
-    for label, name in NAMES:
-        keyword = next(k for k in NAME_KEYWORDS if k in name)
-        out.append(Rule(label, keyword, f"(licen[cs]ed|released|distributed|available|published|used|covered)( only)? (under|by|with)( the terms of)?( the| a| an)? {name}", 70, 0.95))
-        out.append(Rule(label, "licen", f"(license|licence|licensing) (is |terms |type )?(the )?{name}", 65, 0.85))
-        out.append(Rule(label, keyword, name, 50, 0.8))
-    return out
 
+def lower(text: Column) -> Column:
+    """In lower case; of the letters only A-Z become ASCII ones."""
+    for other, instead in (("\u212a", "\u0138"), ("\u0130", "\u0131")):  # in lower case these two would be k and i
+        text = F.replace(text, F.lit(other), F.lit(instead))
+    return F.lower(text)
 
-def _lit_rules() -> Column:
-    return F.array(*(
-        F.struct(F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= ){r.expression}(?= )").alias("expression"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(i).alias("at"))
-        for i, r in enumerate(rules())
-    ))
 
+def gated(low: Column) -> Column:
+    found = low.rlike(f"cc[{GAP}]+(?:{'|'.join(CC)})")
+    for word in GATES:
+        found = F.contains(low, F.lit(word)) | found
+    return found
 
-def _found(norm: Column, rule: Column) -> Column:
-    """All detections of one rule: start and end in characters of the normalised text."""
-    hits = F.regexp_extract_all(norm, rule["expression"], F.lit(0))
-    gaps = F.split(norm, rule["expression"], -1)
-    size = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def at(hit: Column, i: Column) -> Column:
-        start = size(F.slice(gaps, F.lit(1), i + 1)) + size(F.slice(hits, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["score"].alias("score"), rule["at"].alias("at"))
+def normalised(low: Column) -> Column:
+    """The words with a blank before and after each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, f"[{GAP}]++", " ")), F.lit(" "))
 
-    return F.transform(hits, at)
 
+def _marked(p: Pass) -> str:
+    """``norm`` with marks around what the rules match; null without the keyword."""
+    expression = f" ({p.before}(?:" + "|".join(f"(?:{e})" for _, e in p.rules) + "))(?= )"
+    return f"CASE WHEN contains(norm, '{p.keyword}') THEN regexp_replace(norm, '{expression}', ' {_OPEN}$1{_CLOSE}') END"
 
-def _stronger(a: Column, b: Column) -> Column:
-    """Whether detection ``a`` suppresses ``b``: it contains it and comes first by priority, length, order."""
-    inside = (a["start"] <= b["start"]) & (a["end"] >= b["end"])
-    longer = (a["end"] - a["start"]) - (b["end"] - b["start"])
-    return inside & ((a["priority"] > b["priority"]) | ((a["priority"] == b["priority"]) & ((longer > 0) | ((longer == 0) & (a["at"] < b["at"])))))
 
+def _detections(words: str, number: int, p: Pass) -> str:
+    """Array of (start, back = -stop, pass, label, score) of one pass, from its marked words."""
+    places = [f"filter(transform({words}, (w, i) -> CASE WHEN {f}(w, '{mark}') THEN i END), i -> i IS NOT NULL)" for f, mark in (("startswith", _OPEN), ("endswith", _CLOSE))]
+    text = f"translate(array_join(slice({words}, a + 1, b - a + 1), ' '), '{_OPEN}{_CLOSE}', '')"
+    cases = " ".join(f"WHEN t RLIKE '^{p.before}(?:{e})$' THEN '{label}'" for label, e in p.rules)
+    label = f"element_at(transform(array({text}), t -> CASE {cases} END), 1)"
+    return f"zip_with({places[0]}, {places[1]}, (a, b) -> named_struct('start', a, 'back', -b - 1, 'pass', {number}, 'label', {label}, 'score', {p.score}D))"
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections, n_suppressed."""
-    rows = pick(docs, id_col, text_col).select(id_col, F.coalesce(text_col, F.lit("")).alias("t_"))
-    gate = F.col("t_").rlike("(?i)" + "|".join(g.replace(" ", RAW_BREAK) for g in GATES))
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("t_", UPPER, LOWER), BREAK, " ")), F.lit(" "))
-    rows = rows.select(id_col, F.regexp_count("t_", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, norm).alias("norm"))
 
-    words = F.split(F.trim("norm"), " ")
+def _flags(in_order: Column) -> Column:
+    """For each detection a character: 0 if it lies inside one of an earlier pass, else 1.
+
+    Sorted by start, and of equal starts the longer and the earlier pass first: what contains a detection stands before
+    it. ``ends`` has the furthest end of each pass so far.
+    """
+    start = F.struct(F.array_repeat(F.lit(-1), len(PASSES)).alias("ends"), F.lit("").alias("flags"))
+
+    def step(acc: Column, d: Column) -> Column:
+        inside = F.exists(F.slice(acc["ends"], 1, d["pass"]), lambda end: end >= -d["back"])
+        ends = F.transform(acc["ends"], lambda end, i: F.when(i == d["pass"], F.greatest(end, -d["back"])).otherwise(end))
+        return F.struct(ends.alias("ends"), F.concat(acc["flags"], F.when(inside, "0").otherwise("1")).alias("flags"))
 
-    def start(word: Column, i: Column) -> Column:
-        one, two = F.get(F.col("words"), i - 1), F.get(F.col("words"), i - 2)
+    return F.aggregate(in_order, start, step, lambda acc: acc["flags"])
+
+
+def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_words, ``base`` (at, label), ``kept`` (start, stop in words, pass, label, score), ``n_all``."""
+    rows = pick(docs, id_col, text_col).select(F.col(id_col).alias("id_"), F.coalesce(text_col, F.lit("")).alias("t_"))
+    rows = rows.select("id_", word_count(F.col("t_")).alias("n_words"), lower(F.col("t_")).alias("low"))
+    rows = rows.select("id_", "n_words", F.when(gated(F.col("low")), normalised(F.col("low"))).alias("norm"))
+
+    def base(word: Column, i: Column) -> Column:
+        one, two = F.get(F.col("plain"), i - 1), F.get(F.col("plain"), i - 2)
         label = F.when(one == "mit", "mit").when(one == "apache", "apache").when((one == "public") & (two == "general"), "gpl")
         return F.when((word == "license") & label.isNotNull(), F.struct((i - F.when(label == "gpl", 2).otherwise(1)).cast("long").alias("at"), label.alias("label")))
 
-    rows = rows.withColumn("words", F.when(F.col("norm").contains(" license "), words))
-    rows = rows.withColumn("base", F.filter(F.transform("words", start), lambda x: x.isNotNull())).drop("words")
-    active = F.filter(_lit_rules(), lambda r: F.contains(F.col("norm"), r["keyword"]))
-    rows = rows.withColumn("all", F.when(F.col("norm").isNotNull(), F.flatten(F.transform(active, lambda r: _found(F.col("norm"), r))))).drop("norm")
-    rows = rows.withColumn("kept", F.filter("all", lambda b: ~F.exists(F.col("all"), lambda a: _stronger(a, b))))
+    every = range(len(PASSES))
+    rows = rows.select("id_", "n_words", "norm", F.when(F.col("norm").contains(" license "), F.split(F.trim("norm"), " ")).alias("plain"))
+    # beside a lambda, as here, a projection is compiled by itself in small methods; as part of the whole stage its one
+    # method would be too large for the JVM to compile further, and twice as slow
+    rows = rows.select("id_", "n_words", F.filter(F.transform("plain", base), lambda x: x.isNotNull()).alias("base"), *(F.expr(_marked(p)).alias(f"m{k}") for k, p in enumerate(PASSES)))
+    rows = rows.select("id_", "n_words", "base", *(F.when(F.col(f"m{k}").contains(_OPEN), F.split(F.trim(f"m{k}"), " ")).alias(f"w{k}") for k in every))
+    found = F.expr("flatten(filter(array(" + ", ".join(_detections(f"w{k}", k, p) for k, p in enumerate(PASSES)) + "), d -> d IS NOT NULL))")
+    rows = rows.select(
+        "id_", "n_words", "base", F.when(F.coalesce(*(F.col(f"w{k}") for k in every)).isNotNull(), F.array_sort(found)).alias("found"),
+    )
+    # zipped, not looked up in a lambda: there Catalyst would sweep anew for each detection
+    both = F.arrays_zip(F.col("found").alias("d"), F.split(_flags(F.col("found")), "").alias("f"))
+    kept = F.transform(F.filter(both, lambda x: (x["f"] == "1") & x["d"].isNotNull()), lambda x: x["d"])
+    kept = F.transform(kept, lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("stop"), d["pass"].alias("pass"), d["label"].alias("label"), d["score"].alias("score")))
+    return rows.select(F.col("id_").alias(id_col), "n_words", "base", kept.alias("kept"), F.size("found").alias("n_all"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections, n_suppressed."""
     none = F.array().cast("array<string>")
     labels = lambda c: F.coalesce(F.transform(c, lambda x: x["label"]), none)
     at = F.transform("base", lambda x: x["at"])
-    return rows.select(
-        id_col, "n_words", F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"),
+    n_kept = F.when(F.col("kept").isNotNull(), F.size("kept")).otherwise(0)
+    return detections(docs, id_col, text_col).select(
+        id_col, "n_words", F.when(F.col("base").isNotNull(), F.size("base")).otherwise(0).cast("long").alias("n_base"),
         F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(labels("base"))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(labels("base"), labels("kept")))), ",").alias("labels"),
-        F.greatest(F.coalesce(F.array_max(F.transform("kept", lambda x: x["score"])), F.lit(0.0)), F.when(F.size("base") > 0, 0.8).otherwise(0.0)).alias("score"),
-        F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_detections"),
-        F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).cast("long").alias("n_suppressed"),
+        F.greatest(F.coalesce(F.array_max(F.transform("kept", lambda x: x["score"])), F.lit(0.0)), F.when(F.size("base") > 0, BASE_SCORE).otherwise(0.0)).alias("score"),
+        n_kept.cast("long").alias("n_detections"), (F.when(F.col("kept").isNotNull(), F.col("n_all")).otherwise(0) - n_kept).cast("long").alias("n_suppressed"),
     )
