@@ -29,7 +29,7 @@ def clashing(df):
 
 def operators(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None), (3, "ça")], "item_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(1, 1, 1), (5, 0, 1), (None, 1, 0), (3, None, 1), (6, 0, 0)], "doc_id long, toxic int, quality int")
     return {
         "quality": lambda d: quality.apply_policy(quality.ledger(d)),
         "contamination": lambda d: decontaminate.contamination(d, items),
@@ -80,7 +80,7 @@ def test_defined_results(spark):
     assert sim[2] == sim[3] == sim[4] == (0, 2)
     tokens = {r["doc_id"]: r["n_tokens"] for r in ops["tokens"](d).collect() if r["doc_id"]}
     assert tokens[2] == tokens[3] == tokens[4] == 1
-    nothing = toxicity.score(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))).collect()
+    nothing = toxicity.score(d, toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int, quality int"))).collect()
     assert not any(r["toxic"] or r["p_toxic"] for r in nothing)
 
 
