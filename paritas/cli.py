@@ -29,7 +29,7 @@ def _scorer(spec: str):
 
 
 def mitigator(a) -> None:
-    """Audit 1: scores of raw and of neutralised texts, their ratios and a paired test per axis."""
+    """Audit 1: scores of raw and of neutralised texts, their ratios and a paired test of all axes in one job."""
     spark = _session()
     score = _scorer(a.pipeline)
     rows = corpora.read_corpus(spark, a.corpus)
@@ -37,9 +37,9 @@ def mitigator(a) -> None:
     both = audits.axis_audit(rows, ["score_baseline", "score_mitigated"], AXES, ID, a.top_frac, n_bootstrap=a.bootstrap_reps, seed=a.seed)
     effect = audits.mitigation_effect(rows, "score_baseline", "score_mitigated", AXES, ID, a.top_frac)
     report = {"axes": both, "effect": effect}
-    for axis, column in AXES.items() if a.n_permutations else ():
-        grouped = audits.cells(rows, ["score_baseline"], {axis: column}, [*ID, "score_mitigated"])
-        report[f"paired_{axis}"] = inference.paired_permutation(grouped, "score", "score_mitigated", "grp", ID, a.top_frac, a.n_permutations, a.seed)
+    if a.n_permutations:
+        pairs = audits.paired_cells(rows, {"score": ("score_baseline", "score_mitigated")}, AXES, ID)
+        report["paired"] = inference.paired_permutation(pairs, "before", "after", "grp", ID, a.top_frac, a.n_permutations, a.seed, ["axis"])
     corpora.write_scores(rows, f"{a.out_dir}/scores")
     corpora.write_report(report, f"{a.out_dir}/audit_1.json")
 
@@ -73,7 +73,7 @@ def decomposition(a) -> None:
     for name, path in (("original", a.original_scores), ("stripped", a.stripped_scores)):
         scores = corpora.read_scores(spark, path)
         base = base.join(scores.select("applicant_id", *(F.col(q).alias(f"{q}_{name}") for q in (*documents.QUESTIONS, "_total"))), "applicant_id", "left")
-    got = audits.decomposition(base, [*documents.QUESTIONS, "_total"], AXES, ID, a.top_frac)
+    got = audits.decomposition(base, [*documents.QUESTIONS, "_total"], AXES, ID, a.top_frac, n_bootstrap=a.bootstrap_reps, n_permutations=a.n_permutations, seed=a.seed)
     corpora.write_report({"cells": got, "slopes": audits.slopes(got)}, f"{a.out_dir}/decomposition.json")
 
 
@@ -165,7 +165,7 @@ def parser() -> argparse.ArgumentParser:
     command(mitigator, "corpus", "pipeline", "out-dir", top_frac=0.2, bootstrap_reps=200, n_permutations=10_000, seed=0)
     command(questions, "corpus", "extractor", "out-dir", top_frac=0.3, bootstrap_reps=200, seed=0)
     command(rebootstrap, "scores", "out", score_cols=["_total"], top_frac=0.3, bootstrap_reps=1000, n_permutations=0, seed=0)
-    command(decomposition, "corpus", "original-scores", "stripped-scores", "out-dir", top_frac=0.3)
+    command(decomposition, "corpus", "original-scores", "stripped-scores", "out-dir", top_frac=0.3, bootstrap_reps=1000, n_permutations=10_000, seed=0)
     command(equivalence, "vectors", "out")
     command(paragraphs, "document", "out", "instruments", section_regex=None, min_words=50)
     command(dilution, "config", "out-dir", "instruments")

@@ -7,6 +7,7 @@ finite sum over that number (``permutation_exact``); the Monte-Carlo form is kep
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,20 +39,35 @@ def _selected_counts(df: DataFrame, score: str, group: str, keys: Sequence[str],
     return rows.groupBy(*cells).agg(F.count(F.when(g0, 1)).alias("n0"), F.count(F.when(~g0, 1)).alias("n1"), F.sum("selected").cast("long").alias("k"), F.count(F.when(g0 & (F.col("selected") == 1), 1)).alias("x"))
 
 
+#: Deviations around the mode of the hypergeometric mass that are summed; beyond, it is less than a double can hold.
+DEVIATIONS = 40
+
+
+def ln_factorial(n: Column) -> Column:
+    """ln(n!) by Stirling's series from 10 on, by sums of logarithms below."""
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.ln(x) - x + math.log(2 * math.pi) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    small = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(10)))
+    return F.when(n < 10, F.get(small, n.cast("int"))).otherwise(series)
+
+
 def permutation_exact(df: DataFrame, score: str, group: str, keys: Sequence[str], fraction: float, cells: Sequence[str] = (), seed: int = 0, tails: Sequence[str] = ("two-sided",)) -> DataFrame:
     """Exact p-value per cell (and tail): the hypergeometric mass of all splits as extreme as the observed one.
 
-    Splits that leave group 1 without a selected row have no ratio and are left out, of numerator and denominator.
+    Splits that leave group 1 without a selected row have no ratio and are left out, of numerator and denominator. Each
+    mass is computed by itself, over the deviations around the mode that a double can hold: rows grow with the root of K.
     """
     counts = _selected_counts(df, score, group, keys, fraction, cells, seed)
-    low, high = F.greatest(F.lit(0), F.col("k") - F.col("n1")), F.least(F.col("k"), F.col("n0"))
-    rows = counts.withColumn("di", ratio(F.col("x") * F.col("n1"), F.col("n0") * (F.col("k") - F.col("x")))).withColumn("v", F.explode(F.sequence(low, high)))
-    # ln of the ratio of neighbouring masses, summed up: no factorials
-    step = F.ln((F.col("n0") - F.col("v") + 1).cast("double")) + F.ln((F.col("k") - F.col("v") + 1).cast("double")) - F.ln(F.col("v").cast("double")) - F.ln((F.col("n1") - F.col("k") + F.col("v")).cast("double"))
+    n0, n1, k = (F.col(c).cast("double") for c in ("n0", "n1", "k"))
+    n = n0 + n1
+    mode = F.floor((n0 + 1) * (k + 1) / (n + 2))
+    reach = F.ceil(DEVIATIONS * F.sqrt(k * n0 / n * n1 / n * (n - k) / F.greatest(n - 1, F.lit(1.0)))) + 50
+    low, high = F.greatest(F.lit(0), F.col("k") - F.col("n1"), (mode - reach).cast("long")), F.least(F.col("k"), F.col("n0"), (mode + reach).cast("long"))
+    mass = lambda v: -(ln_factorial(v) + ln_factorial(F.col("n0") - v) + ln_factorial(F.col("k") - v) + ln_factorial(F.col("n1") - F.col("k") + v))
+    rows = counts.withColumn("di", ratio(F.col("x") * F.col("n1"), F.col("n0") * (F.col("k") - F.col("x"))))
+    rows = rows.withColumn("top", F.least(F.greatest(mode.cast("long"), F.lit(0), F.col("k") - F.col("n1")), F.col("k"), F.col("n0"))).withColumn("v", F.explode(F.sequence(low, high)))
+    rows = rows.withColumn("w", F.exp(mass(F.col("v")) - mass(F.col("top"))))
     cell = [*cells, "n0", "n1", "k", "x", "di"]
-    along = Window.partitionBy(*cell).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("lm", F.sum(F.when(F.col("v") == low, F.lit(0.0)).otherwise(step)).over(along))
-    rows = rows.withColumn("w", F.exp(F.col("lm") - F.max("lm").over(Window.partitionBy(*cell))))
     rows = rows.withColumn("dv", ratio(F.col("v") * F.col("n1"), F.col("n0") * (F.col("k") - F.col("v"))))
     out = None
     for tail in tails:
@@ -100,22 +116,30 @@ def bootstrap_di(df: DataFrame, score: str, group: str, keys: Sequence[str], fra
     return percentile_interval(bootstrap_reps(df, score, group, keys, fraction, reps, seed, stratified, cells), "disparate_impact", cells, alpha)
 
 
-def paired_permutation(df: DataFrame, before: str, after: str, group: str, keys: Sequence[str], fraction: float, reps: int, seed: int = 0) -> DataFrame:
-    """Whether a change of scores changes the ratio: each row's two scores are swapped by coin flips, both selections made anew."""
-    rows = df.where(F.col(group).isin(0, 1)).select(*keys, F.col(group).alias("g_"), finite(F.col(before)).alias("a_"), finite(F.col(after)).alias("b_"))
+def paired_permutation(df: DataFrame, before: str, after: str, group: str, keys: Sequence[str], fraction: float, reps: int, seed: int = 0, cells: Sequence[str] = ()) -> DataFrame:
+    """Per cell, whether a change of scores changes the ratio: each row's two scores are swapped by coin flips, both selections made anew.
+
+    A row's coin is the same in all cells.
+    """
+    rows = df.where(F.col(group).isin(0, 1)).select(*cells, *keys, F.col(group).alias("g_"), finite(F.col(before)).alias("a_"), finite(F.col(after)).alias("b_"))
     # repetition -1 is the observed pair
     all_reps = df.sparkSession.range(-1, reps).withColumnRenamed("id", "rep")
     flip = (F.col("rep") >= 0) & (hash_int(F.lit(seed), F.lit("flip"), F.col("rep"), *map(F.col, keys)) % 2 == 1)
-    dealt = rows.crossJoin(all_reps).withColumn("flip", flip)
-    both = dealt.select("rep", *keys, "g_", F.explode(F.array(
+    dealt = rows.crossJoin(F.broadcast(all_reps)).withColumn("flip", flip)
+    both = dealt.select(*cells, "rep", *keys, "g_", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.when(F.col("flip"), F.col("b_")).otherwise(F.col("a_")).alias("s")),
         F.struct(F.lit(1).alias("side"), F.when(F.col("flip"), F.col("a_")).otherwise(F.col("b_")).alias("s")),
-    )).alias("x")).select("rep", *keys, "g_", "x.side", "x.s")
-    sel = ranked(both, "s", keys, ("rep", "side"), seed).withColumn("sel", (F.col("rk") <= k_of(fraction, F.col("n"))).cast("double"))
-    per = sel.groupBy("rep", "side").agg(ratio(F.avg(F.when(F.col("g_") == 0, F.col("sel"))), F.avg(F.when(F.col("g_") == 1, F.col("sel")))).alias("di"))
-    pair = per.groupBy("rep").agg(F.max(F.when(F.col("side") == 0, F.col("di"))).alias("d0"), F.max(F.when(F.col("side") == 1, F.col("di"))).alias("d1")).withColumn("delta", F.col("d1") - F.col("d0"))
-    seen = pair.where("rep = -1").select(F.col("d0").alias("baseline_di"), F.col("d1").alias("mitigated_di"), F.col("delta").alias("delta_observed"))
-    got = pair.where("rep >= 0").crossJoin(F.broadcast(seen)).groupBy("baseline_di", "mitigated_di", "delta_observed").agg(
-        F.count(F.lit(1)).alias("n_perms_run"), F.count("delta").alias("n_perms_valid"), F.count(F.when(F.abs(F.col("delta")) >= F.abs(F.col("delta_observed")) - TOLERANCE, 1)).alias("n_extreme")
-    )
+    )).alias("x")).select(*cells, "rep", *keys, "g_", "x.side", "x.s")
+    sel = ranked(both, "s", keys, (*cells, "rep", "side"), seed).withColumn("sel", (F.col("rk") <= k_of(fraction, F.col("n"))).cast("double"))
+    per = sel.groupBy(*cells, "rep", "side").agg(ratio(F.avg(F.when(F.col("g_") == 0, F.col("sel"))), F.avg(F.when(F.col("g_") == 1, F.col("sel")))).alias("di"))
+    pair = per.groupBy(*cells, "rep").agg(F.max(F.when(F.col("side") == 0, F.col("di"))).alias("d0"), F.max(F.when(F.col("side") == 1, F.col("di"))).alias("d1")).withColumn("delta", F.col("d1") - F.col("d0"))
+    # a row for each cell and repetition: the observed pair comes along in the aggregate
+    observed = lambda c: F.max(F.when(F.col("rep") == -1, F.col(c)))
+    deltas = F.filter(F.collect_list(F.when(F.col("rep") >= 0, F.struct(F.col("delta").alias("d")))), lambda x: x["d"].isNotNull())
+    got = pair.groupBy(*cells).agg(
+        observed("d0").alias("baseline_di"), observed("d1").alias("mitigated_di"), observed("delta").alias("delta_observed"),
+        F.count(F.when(F.col("rep") >= 0, 1)).alias("n_perms_run"), deltas.alias("deltas_"),
+    )
+    far = F.filter("deltas_", lambda x: F.abs(x["d"]) >= F.abs(F.col("delta_observed")) - TOLERANCE)
+    got = got.select(*cells, "baseline_di", "mitigated_di", "delta_observed", "n_perms_run", F.size("deltas_").cast("long").alias("n_perms_valid"), F.size(far).cast("long").alias("n_extreme"))
     return got.withColumn("p_value", (F.col("n_extreme") + 1) / (F.col("n_perms_valid") + 1))

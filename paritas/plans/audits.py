@@ -84,13 +84,38 @@ def mitigation_effect(df: DataFrame, before: str, after: str, axes: Mapping[str,
     return got.withColumn("delta_di", F.col("mitigated_di") - F.col("baseline_di"))
 
 
-def decomposition(df: DataFrame, questions: Sequence[str], axes: Mapping[str, str], keys: Sequence[str], fraction: float = 0.3, config: Mapping[str, dict] = DEFAULT_AXES) -> DataFrame:
-    """Per question and axis: the ratios of ``<question>_original`` and ``<question>_stripped``, and what drives the first."""
-    rows = axis_audit(df, [f"{q}_{s}" for q in questions for s in ("original", "stripped")], axes, keys, fraction, config)
-    rows = rows.select(F.regexp_replace("score_col", "_(original|stripped)$", "").alias("question"), F.regexp_extract("score_col", "(original|stripped)$", 1).alias("stage"), "axis", "disparate_impact")
+def paired_cells(df: DataFrame, pairs: Mapping[str, tuple[str, str]], axes: Mapping[str, str], keys: Sequence[str], config: Mapping[str, dict] = DEFAULT_AXES) -> DataFrame:
+    """Rows (keys, score_col, before, after, axis, grp) of pairs of score columns; pairs with a missing column are skipped."""
+    some = [F.struct(F.lit(name).alias("score_col"), finite(F.col(a)).alias("before"), finite(F.col(b)).alias("after")) for name, (a, b) in pairs.items() if {a, b} <= set(df.columns)]
+    rows = df.select(*keys, *dict.fromkeys(axes.values()), F.explode(F.array(*some)).alias("x_"))
+    return _long_axes(rows.select("*", "x_.*").drop("x_"), axes, config)
+
+
+def decomposition(
+    df: DataFrame, questions: Sequence[str], axes: Mapping[str, str], keys: Sequence[str], fraction: float = 0.3, config: Mapping[str, dict] = DEFAULT_AXES,
+    n_bootstrap: int = 0, n_permutations: int = 0, seed: int = 0,
+) -> DataFrame:
+    """Per question and axis: the ratios of ``<question>_original`` and ``<question>_stripped``, and what drives the first.
+
+    With ``n_bootstrap``: an interval of each stage's ratio; with ``n_permutations``: the paired test of the change.
+    """
+    stages = ("original", "stripped")
+    names = [f"{q}_{s}" for q in questions for s in stages]
+    rows = axis_audit(df, names, axes, keys, fraction, config)
+    stage, question = F.regexp_extract("score_col", "(original|stripped)$", 1), F.regexp_replace("score_col", "_(original|stripped)$", "")
+    rows = rows.select(question.alias("question"), stage.alias("stage"), "axis", "disparate_impact")
     side = lambda s: F.max(F.when(F.col("stage") == s, F.col("disparate_impact")))
     got = rows.groupBy("question", "axis").agg(side("original").alias("original_di"), side("stripped").alias("stripped_di"))
-    return got.withColumn("delta_di", F.col("stripped_di") - F.col("original_di")).withColumn("label", decomposition_label(F.col("original_di"), F.col("stripped_di")))
+    got = got.withColumn("delta_di", F.col("stripped_di") - F.col("original_di")).withColumn("label", decomposition_label(F.col("original_di"), F.col("stripped_di")))
+    if n_bootstrap:
+        drawn = axis_bootstrap(df, names, axes, keys, fraction, n_bootstrap, config, seed=seed)
+        ends = [F.max(F.when(stage == s, F.col(end))).alias(f"{s}_{end}") for s in stages for end in ("ci_lo", "ci_hi")]
+        got = got.join(drawn.groupBy(question.alias("question"), "axis").agg(*ends), ["question", "axis"], "left")
+    if n_permutations:
+        long = paired_cells(df, {q: (f"{q}_original", f"{q}_stripped") for q in questions}, axes, keys, config)
+        tested = inference.paired_permutation(long, "before", "after", "grp", keys, fraction, n_permutations, seed, ["score_col", "axis"])
+        got = got.join(tested.select(F.col("score_col").alias("question"), "axis", F.col("delta_observed").alias("paired_delta"), "p_value", "n_perms_valid"), ["question", "axis"], "left")
+    return got
 
 
 def content_equivalence(df: DataFrame, key: str, seed: str, stratum: str, vec: str = "vec") -> tuple[DataFrame, DataFrame]:

@@ -23,10 +23,10 @@ METRICS = (
 REDRAW, DISCLOSE = 7919, 99991
 
 
-def population(spark: SparkSession, anchorings: Sequence[tuple], n: int, reps: int, sd: float, seed: int) -> DataFrame:
-    """Applicants of every anchoring and replicate."""
+def population(spark: SparkSession, anchorings: Sequence[tuple], n: int, reps: int, sd: float, seed: int, ids: DataFrame | None = None) -> DataFrame:
+    """Applicants of every anchoring and replicate: ``n``, or one for each row of ``ids`` (a column ``id``)."""
     table = F.broadcast(spark.createDataFrame([(a, float(lo), float(hi)) for a, lo, hi in anchorings], "anchoring string, low double, high double"))
-    ids = spark.range(n).crossJoin(table).crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))
+    ids = (spark.range(n) if ids is None else ids.select("id")).crossJoin(table).crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))
     return sim.applicants(ids, seed, F.col("low"), F.col("high"), sd, F.concat_ws("/", "anchoring", F.col("rep").cast("string")))
 
 
@@ -63,10 +63,10 @@ def with_sd(people: DataFrame, sd: float) -> DataFrame:
     return people.withMetadata("narrative_sentiment", {_SD: sd})
 
 
-def screening(spark: SparkSession, anchorings: Sequence[tuple] = sim.ANCHORINGS, n: int = 6000, invite: float = 0.30, sd: float = 0.30, reps: int = 1000, seed: int = 42, model: str = "logistic_regression") -> DataFrame:
+def screening(spark: SparkSession, anchorings: Sequence[tuple] = sim.ANCHORINGS, n: int = 6000, invite: float = 0.30, sd: float = 0.30, reps: int = 1000, seed: int = 42, model: str = "logistic_regression", ids: DataFrame | None = None) -> DataFrame:
     """Per anchoring and metric: median, mean and interval over replicates."""
-    tests = scored_tests(with_sd(population(spark, anchorings, n, reps, sd, seed), sd), model, seed)
-    per = classification_metrics(selection.rank_select(tests, "proba", "id", invite, ["anchoring", "rep"]), cells=["anchoring", "rep"])
+    tests = scored_tests(with_sd(population(spark, anchorings, n, reps, sd, seed, ids), sd), model, seed)
+    per = classification_metrics(selection.rank_replicates(tests, "proba", "id", invite, ["anchoring", "rep"]), cells=["anchoring", "rep"])
     long = per.unpivot(["anchoring", "rep"], list(METRICS), "metric", "value")
     return percentile_interval(long, "value", ["anchoring", "metric"])
 
@@ -76,15 +76,15 @@ def counterfactual(spark: SparkSession, anchorings: Sequence[tuple] = sim.ANCHOR
     tests = scored_tests(with_sd(population(spark, anchorings, n, reps, sd, seed), sd), model, seed)
     out, cells = None, ["anchoring", "rep"]
     for stage, column in (("baseline", "proba"), ("counterfactual", "cf_proba")):
-        per = selection.group_rates(selection.rank_select(tests, column, "id", invite, cells), "group", "yhat", cells).withColumn("stage", F.lit(stage))
+        per = selection.group_rates(selection.rank_replicates(tests, column, "id", invite, cells), "group", "yhat", cells).withColumn("stage", F.lit(stage))
         out = per if out is None else out.unionByName(per)
     long = out.unpivot(["anchoring", "stage", "rep"], ["disparate_impact", "selection_rate_group0", "selection_rate_group1"], "metric", "value")
     return percentile_interval(long, "value", ["anchoring", "stage", "metric"])
 
 
-def disclosure_sweep(spark: SparkSession, anchoring: tuple, rates: Sequence[float] = sim.DISCLOSURE_RATES, n: int = 6000, invite: float = 0.12, sd: float = 0.30, reps: int = 100, seed: int = 0, model: str = "linear_score") -> DataFrame:
+def disclosure_sweep(spark: SparkSession, anchoring: tuple, rates: Sequence[float] = sim.DISCLOSURE_RATES, n: int = 6000, invite: float = 0.12, sd: float = 0.30, reps: int = 100, seed: int = 0, model: str = "linear_score", ids: DataFrame | None = None) -> DataFrame:
     """Per rate of disclosure: intervals of the ratio and the selection rates. Fitted models are trained once a replicate, on what the rate leaves."""
-    people = population(spark, [anchoring], n, reps, sd, seed)
+    people = population(spark, [anchoring], n, reps, sd, seed, ids)
     rows = sim.disclosure(people, rates, float(anchoring[2]), sd, seed + DISCLOSE, ["anchoring", "rep"])
     cells = ["rate", "rep"]
     if model in models.CLOSED:
@@ -96,7 +96,7 @@ def disclosure_sweep(spark: SparkSession, anchoring: tuple, rates: Sequence[floa
             keep = [*cells, "id", "group", "label"]
             done = models.score(models.fit(part.where("not is_test"), model, seed=seed + r[1]), part.where("is_test"), keep)
             scored = done if scored is None else scored.unionByName(done)
-    per = selection.group_rates(selection.rank_select(scored, "proba", "id", invite, cells), "group", "yhat", cells)
+    per = selection.group_rates(selection.rank_replicates(scored, "proba", "id", invite, cells), "group", "yhat", cells)
     long = per.unpivot(cells, ["disparate_impact", "selection_rate_group0", "selection_rate_group1"], "metric", "value")
     return percentile_interval(long, "value", ["rate", "metric"])
 

@@ -14,8 +14,8 @@ from paritas.queries.selection import r6
 QUERIES: dict = {}
 SQL: dict = {}
 
-#: Repetitions of the resampling queries; each has a row per repetition and applicant.
-REPS = 20
+#: Repetitions of the resampling queries, of one cell and of several; each has a row per repetition and applicant.
+REPS, CELL_REPS = 200, 20
 
 
 def query(sql: str | None = None):
@@ -144,7 +144,7 @@ def axis_audit_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _boot_cells() -> str:
     return f"""{_CELLS}, f AS (SELECT score_col, axis, id, grp, score FROM x WHERE grp IN (0, 1)),
 y AS (SELECT *, row_number() OVER (PARTITION BY score_col, axis, grp ORDER BY md5('0:' || id)) - 1 AS pos, count(*) OVER (PARTITION BY score_col, axis, grp) AS m FROM f),
-d AS (SELECT rep, score_col, axis, grp, pos AS j, ('0x' || substr(md5('0:' || rep || ':' || score_col || ':' || axis || ':' || grp || ':' || pos), 1, 7))::BIGINT % m AS pos FROM y, (SELECT unnest(range(0, {REPS})) AS rep)),
+d AS (SELECT rep, score_col, axis, grp, pos AS j, ('0x' || substr(md5('0:' || rep || ':' || score_col || ':' || axis || ':' || grp || ':' || pos), 1, 7))::BIGINT % m AS pos FROM y, (SELECT unnest(range(0, {CELL_REPS})) AS rep)),
 t AS (SELECT d.rep, d.j, d.score_col, d.axis, y.grp, y.score FROM d JOIN y USING (score_col, axis, grp, pos)),
 k AS (SELECT *, row_number() OVER (PARTITION BY score_col, axis, rep ORDER BY score DESC NULLS LAST, md5('0:' || rep || ':' || grp || ':' || j)) AS rk, count(*) OVER (PARTITION BY score_col, axis, rep) AS n FROM t),
 p AS (SELECT score_col, axis, rep, avg((rk <= greatest(1, round_even(0.2 * n, 0)))::INT::DOUBLE) FILTER (grp = 0) AS r0, avg((rk <= greatest(1, round_even(0.2 * n, 0)))::INT::DOUBLE) FILTER (grp = 1) AS r1 FROM k GROUP BY ALL),
@@ -153,7 +153,7 @@ b AS (SELECT score_col, axis, r0 / nullif(r1, 0) AS di FROM p)"""
 
 @query(f"WITH {_boot_cells()} SELECT score_col, axis, {_CI} FROM b GROUP BY ALL")
 def rebootstrap_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = audits.axis_bootstrap(cells_frame(spark, sf_dir), SCORES, {"segment": "segment", "half": "half"}, ["id"], 0.2, REPS, AXES)
+    got = audits.axis_bootstrap(cells_frame(spark, sf_dir), SCORES, {"segment": "segment", "half": "half"}, ["id"], 0.2, CELL_REPS, AXES)
     return r6(got)
 
 
@@ -172,3 +172,38 @@ def monthly_order_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     got = selection.group_rates(orders.join(chosen, F.col("o_custkey") == F.col("id")), "grp", "selected", ["month"])
     return got.select("month", "n_group0", "n_group1", rounded(F.col("disparate_impact")).alias("disparate_impact"))
+
+
+_PAIRS = f"""{APPLICANTS}, w AS (SELECT id, nation, segment, unnest(['direct', 'inverse']) AS score_col, unnest([score, -score]) AS s0, unnest([round(score / 1000.0::DOUBLE), -round(score / 500.0::DOUBLE)]) AS s1 FROM a),
+x AS (SELECT score_col, 'segment' AS axis, id, s0, s1, CASE WHEN segment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 0 WHEN segment = 'AUTOMOBILE' THEN 1 ELSE -1 END AS grp FROM w
+  UNION ALL SELECT score_col, 'half', id, s0, s1, (nation % 2)::INT FROM w),
+d AS (SELECT rep, score_col, axis, id, grp, s0, s1, rep >= 0 AND ('0x' || substr(md5('0:flip:' || rep || ':' || id), 1, 7))::BIGINT % 2 = 1 AS flip FROM x, (SELECT unnest(range(-1, {CELL_REPS})) AS rep) WHERE grp IN (0, 1)),
+u AS (SELECT score_col, axis, rep, 0 AS side, id, grp, CASE WHEN flip THEN s1 ELSE s0 END AS score FROM d UNION ALL SELECT score_col, axis, rep, 1, id, grp, CASE WHEN flip THEN s0 ELSE s1 END FROM d),
+{sel('u', 0.2, cells='score_col, axis, rep, side')}, r AS (SELECT score_col, axis, rep, side, {RATES} FROM s GROUP BY ALL),
+p AS (SELECT score_col, axis, rep, max(r0 / nullif(r1, 0)) FILTER (side = 0) AS d0, max(r0 / nullif(r1, 0)) FILTER (side = 1) AS d1 FROM r GROUP BY ALL),
+o AS (SELECT score_col, axis, d0 AS b0, d1 AS b1, d1 - d0 AS seen FROM p WHERE rep = -1),
+k AS (SELECT score_col, axis, b0, b1, seen, count(*) AS n_perms_run, count(d1 - d0) AS n_perms_valid, count(*) FILTER (abs(d1 - d0) >= abs(seen) - 1e-12) AS n_extreme FROM p JOIN o USING (score_col, axis) WHERE rep >= 0 GROUP BY ALL)"""
+
+
+def pairs_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two questions of a decomposition: scores, and coarser ones as if stripped."""
+    s = F.col("score")
+    rows = applicants(spark, sf_dir).select("id", "segment", (F.col("nation") % 2).cast("string").alias("half"), s.alias("direct_original"), (-s).alias("inverse_original"), F.round(s / 1000.0).alias("direct_stripped"), (-F.round(s / 500.0)).alias("inverse_stripped"))
+    return rows
+
+
+@query(f"""WITH {_PAIRS} SELECT score_col, axis, round(b0, 6) AS baseline_di, round(b1, 6) AS mitigated_di, round(seen, 6) + 0.0 AS delta_observed, n_perms_run, n_perms_valid, n_extreme, round((n_extreme + 1) / (n_perms_valid + 1), 6) AS p_value FROM k""")
+def paired_permutation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = audits.paired_cells(pairs_frame(spark, sf_dir), {q: (f"{q}_original", f"{q}_stripped") for q in ("direct", "inverse")}, {"segment": "segment", "half": "half"}, ["id"], AXES)
+    return r6(inference.paired_permutation(pairs, "before", "after", "grp", ["id"], 0.2, CELL_REPS, cells=["score_col", "axis"]))
+
+
+@query(f"""WITH {_PAIRS}, {sel('w', 0.2, cells='score_col', name='t0', order='s0')}, {sel('w', 0.2, cells='score_col', name='t1', order='s1')},
+y AS (SELECT x.score_col, x.axis, avg(t0.selected::DOUBLE) FILTER (grp = 0) / nullif(avg(t0.selected::DOUBLE) FILTER (grp = 1), 0) AS o0, avg(t1.selected::DOUBLE) FILTER (grp = 0) / nullif(avg(t1.selected::DOUBLE) FILTER (grp = 1), 0) AS o1
+  FROM x JOIN t0 USING (score_col, id) JOIN t1 USING (score_col, id) GROUP BY x.score_col, x.axis)
+SELECT y.score_col AS question, y.axis, round(o0, 6) AS original_di, round(o1, 6) AS stripped_di, round(o1 - o0, 6) + 0.0 AS delta_di,
+  CASE WHEN o0 IS NULL OR o1 IS NULL THEN 'n/a' WHEN abs(o0 - 1) < 0.1::DOUBLE THEN 'no DI to explain' WHEN abs(o1 - 1) < 0.4::DOUBLE * abs(o0 - 1) THEN 'marker-driven' WHEN abs(o1 - 1) > 0.7::DOUBLE * abs(o0 - 1) THEN 'content-driven' ELSE 'mixed' END AS label,
+  round(seen, 6) + 0.0 AS paired_delta, round((n_extreme + 1) / (n_perms_valid + 1), 6) AS p_value, n_perms_valid FROM y JOIN k USING (score_col, axis)""")
+def decomposition_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = audits.decomposition(pairs_frame(spark, sf_dir), ["direct", "inverse"], {"segment": "segment", "half": "half"}, ["id"], 0.2, AXES, n_permutations=CELL_REPS)
+    return r6(got)

@@ -9,7 +9,7 @@ from paritas.functions.scalars import four_fifths, rounded
 from paritas.operators import selection
 from paritas.operators import simulation as sim
 from paritas.operators.metrics import percentile_interval
-from paritas.plans import audits
+from paritas.plans import audits, simulations
 from paritas.queries.inference import _AXIS_ROW, _CELLS, AXES, SCORES, cells_frame
 from paritas.queries.roles import table
 from paritas.queries.selection import r6
@@ -136,7 +136,7 @@ r AS (SELECT rate, sum(disclosed)::BIGINT AS n_disclosed, avg(yhat) FILTER (grp
 
 def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sim.disclosure(people(spark, sf_dir), sim.DISCLOSURE_RATES, 0.78, 0.3, 7919).withColumn("proba", sim.linear_score())
-    chosen = selection.rank_select(rows, "proba", "id", 0.12, ["rate"])
+    chosen = selection.rank_replicates(rows, "proba", "id", 0.12, ["rate"])
     n = chosen.groupBy("rate").agg(F.sum("disclosed").cast("long").alias("n_disclosed"))
     return selection.group_rates(chosen, "group", "yhat", ["rate"]).join(n, "rate")
 
@@ -166,11 +166,50 @@ def anchoring_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchorings = F.broadcast(spark.createDataFrame(list(sim.ANCHORINGS), "anchoring string, low double, high double"))
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).crossJoin(anchorings).crossJoin(F.broadcast(spark.range(REPS).withColumnRenamed("id", "rep")))
     rows = sim.applicants(ids, 42, F.col("low"), F.col("high"), 0.3, F.col("rep")).withColumn("proba", sim.linear_score())
-    chosen = selection.rank_select(rows, "proba", "id", 0.12, ["anchoring", "rep"])
+    chosen = selection.rank_replicates(rows, "proba", "id", 0.12, ["anchoring", "rep"])
     per = selection.group_rates(chosen, "group", "yhat", ["anchoring", "rep"])
     return r6(percentile_interval(per, "disparate_impact", ["anchoring"]))
 
 
+_INTERVAL = "round(quantile_cont(di, 0.5), 6) + 0.0 AS point, round(avg(di), 6) + 0.0 AS mean, round(quantile_cont(di, 0.025), 6) + 0.0 AS ci_lo, round(quantile_cont(di, 0.975), 6) + 0.0 AS ci_hi, count(di) AS n_reps"
+
+
+def _tested(source: str, cells: str, seed: int, invite: float, keep: str) -> str:
+    """SQL of the test rows of replicates: split by stratum, scored, the first ``invite`` of them chosen (``yh``)."""
+    return f"""x AS (SELECT *, row_number() OVER (PARTITION BY {cells}, grp, label ORDER BY md5('{seed}:' || id)) AS rk, count(*) OVER (PARTITION BY {cells}, grp, label) AS n FROM {source}),
+s AS (SELECT {cells}, grp, id, label, {LINEAR} AS proba FROM x WHERE rk <= greatest(0, round_even(0.3 * n, 0))),
+t AS (SELECT *, row_number() OVER (PARTITION BY {cells} ORDER BY proba DESC, id) AS pl, count(*) OVER (PARTITION BY {cells}) AS m FROM s),
+y AS (SELECT *, (pl <= round_even({invite} * m, 0))::INT::DOUBLE AS yh FROM t), r AS (SELECT {cells}, avg(yh) FILTER (grp = 0) AS a, avg(yh) FILTER (grp = 1) AS b{keep} FROM y GROUP BY ALL)"""
+
+
+_RATE = "avg(yh) FILTER (grp = 0 AND label = {0}) - avg(yh) FILTER (grp = 1 AND label = {0})"
+
+
+@query(f"""WITH {_SWEEP_IDS}, {_people('i', "42, anchoring || '/' || rep, id", 'low', 'high', 0.3)},
+{_tested('p', 'anchoring, rep', 42, 0.3, f", {_RATE.format(1)} AS eod, {_RATE.format(0)} AS fpd, avg((label = yh)::INT::DOUBLE) AS acc")},
+l AS (SELECT anchoring, unnest({_list(simulations.METRICS)}) AS metric, unnest([a / nullif(b, 0), a - b, eod, fpd, a, b, acc]) AS di FROM r) SELECT anchoring, metric, {_INTERVAL} FROM l GROUP BY ALL""")
+def screening_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven metrics of screenings on held-out applicants, with intervals over replicates, for every anchoring."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return r6(simulations.screening(spark, reps=REPS, model="linear_score", ids=ids))
+
+
+_AT = sim.ANCHORINGS[0]
+_REDRAWN = _normal(f"{float(_AT[2])!r}::DOUBLE", 0.3, "99991, 'cf', id", "").replace(", '', 'u'", ", 'u'").replace(", '', 'v'", ", 'v'")
+_FEATURES = ", ".join(f for f in sim.FEATURES if f != "narrative_sentiment")
+
+
+@query(f"""WITH i AS (SELECT c_custkey AS id, rep FROM customer, (SELECT unnest(range(0, {REPS})) AS rep)), {_people('i', f"0, '{_AT[0]}/' || rep, id", f'{float(_AT[1])!r}::DOUBLE', f'{float(_AT[2])!r}::DOUBLE', 0.3)},
+k AS (SELECT *, row_number() OVER (PARTITION BY rep, grp ORDER BY md5('99991:disclose:' || id)) AS dk, count(*) OVER (PARTITION BY rep, grp) AS dn FROM p),
+d AS (SELECT id, rep, rate, grp, label, {_FEATURES}, CASE WHEN grp = 0 AND dk <= round_even(rate * dn, 0) THEN greatest(-1.0, least(1.0, {_REDRAWN})) ELSE narrative_sentiment END AS narrative_sentiment FROM k, (SELECT unnest([{_RATES}]) AS rate)),
+{_tested('d', 'rate, rep', 0, 0.12, '')},
+l AS (SELECT rate, unnest(['disparate_impact', 'selection_rate_group0', 'selection_rate_group1']) AS metric, unnest([a / nullif(b, 0), a, b]) AS di FROM r) SELECT rate, metric, {_INTERVAL} FROM l GROUP BY ALL""")
+def disclosure_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio and the selection rates by rate of disclosure, with intervals over replicates."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return r6(simulations.disclosure_sweep(spark, _AT, reps=REPS, ids=ids))
+
+
 @query(f"WITH {_CELLS}, q AS (SELECT {_AXIS_ROW} FROM r) SELECT score_col, max(disparate_impact) FILTER (axis = 'segment') AS segment, max(disparate_impact) FILTER (axis = 'half') AS half FROM q GROUP BY score_col")
 def figure_heatmap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     audit = audits.axis_audit(cells_frame(spark, sf_dir), SCORES, {"segment": "segment", "half": "half"}, ["id"], 0.2, AXES)

@@ -107,22 +107,28 @@ def mitigate_full_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hashed(_texts(spark, sf_dir), texts.mitigate(F.col("text")))
 
 
-@query(f"WITH {CASES_SQL} SELECT id::BIGINT AS id, {sql_rules(_T, texts.HONORIFICS)} AS text FROM c")
+@query(f"WITH {CASES_SQL}, {_DOCS}, t AS (SELECT id, {sql_rules(_T, texts.HONORIFICS)} AS t FROM d) SELECT id, md5(t) AS text_md5, length(t) AS n FROM t")
 def honorific_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark).select("id", texts.apply_rules(F.coalesce("text", F.lit("")), texts.HONORIFICS).alias("text"))
+    return _hashed(_texts(spark, sf_dir), texts.apply_rules(F.coalesce("text", F.lit("")), texts.HONORIFICS))
 
 
-@query(f"WITH {CASES_SQL} SELECT id::BIGINT AS id, {sql_rules(_T, texts.SUBSTITUTIONS)} AS text FROM c")
+@query(f"WITH {CASES_SQL}, {_DOCS}, t AS (SELECT id, {sql_rules(_T, texts.SUBSTITUTIONS)} AS t FROM d) SELECT id, md5(t) AS text_md5, length(t) AS n FROM t")
 def semantic_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark).select("id", texts.substitute(F.col("text")).alias("text"))
+    return _hashed(_texts(spark, sf_dir), texts.substitute(F.col("text")))
 
 
-@query("""SELECT id::BIGINT AS id, text FROM (VALUES (-1, 'Mr. Smith met Mrs Jones; HER brother and Hers, himself. Miss the bus.'), (-2, 'The African American and Pacific Islander doctors drank black coffee.'),
-(-3, 'She studied at [TIER3_SCHOOL], then [TIER3_SCHOOL] and lower-case yale hospital.'), (-4, 'A caring, warm and HARDWORKING colleague; meticulous and dedicated.'), (-5, ''), (-6, NULL),
-(-7, 'Iowa is flat. Nothing else here.'), (-8, 'He trained as a physician near [TIER2_SCHOOL] and at [TIER2_SCHOOL].'), (-9, 'éher and her; prof. Madam Sir dr. Who')) AS x(id, text)""")
+def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases, and the documents in turn of each tier, with a sentence on schools at their end."""
+    tier = F.element_at(F.array(F.lit("top_20"), F.lit("mid_tier"), F.lit("lower_tier")), (F.col("doc_id") % 3 + 1).cast("int"))
+    told = F.element_at(F.array(F.lit(" Residency at Yale, then Wayne State medical school."), F.lit(" Yale is far from Iowa."), F.lit(" Harvard Medical School.")), (F.col("doc_id") % 5 % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("text", told).alias("text"), tier.alias("tier"))
+    return docs.unionByName(cases(spark))
+
+
+@query()
 def tier_school_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = texts.tier_substitution(F.col("text"), F.col("tier"))
-    return cases(spark).select("id", F.when(F.col("text").isNotNull(), t).alias("text"))
+    return tiered(spark, sf_dir).select("id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n"))
 
 
 @query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 15)[1:200] AS l FROM documents)
@@ -184,9 +190,17 @@ def llm_answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 TONES = ((1, '{"compound": -0.4, "rationale": "cold"}'), (2, "hm"), (3, '{"compound": "0.25"}'), (4, '{"rationale": "none"}'))
 
 
-@query("SELECT * FROM (VALUES (1, -0.4::DOUBLE, 'cold'), (2, NULL, 'PARSE_ERROR: hm'), (3, 0.25, ''), (4, NULL, 'none')) AS x(id, compound, rationale)")
+_TONES_SQL = "VALUES " + ", ".join(f"({-i}, {_quote(t)})" for i, t in TONES)
+
+
+@query(f"""WITH x AS (SELECT event_id AS id, replace(props, '"k"', '"compound"') AS content FROM events UNION ALL SELECT * FROM ({_TONES_SQL})),
+b AS (SELECT id, content, CASE WHEN json_valid(nullif(regexp_extract(content, '\\{{[^{{}}]*\\}}', 0), '')) THEN regexp_extract(content, '\\{{[^{{}}]*\\}}', 0) END AS b FROM x)
+SELECT id, CASE b->>'compound' WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 ELSE try_cast(b->>'compound' AS DOUBLE) END AS compound,
+  CASE WHEN b IS NULL THEN 'PARSE_ERROR: ' || substr(content, 1, 200) ELSE coalesce(b->>'rationale', '') END AS rationale FROM b""")
 def tone_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(TONES), "id int, content string").select("id", *texts.parse_tone(F.col("content")))
+    own = spark.createDataFrame([(-i, t) for i, t in TONES], "id long, content string")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.replace("props", F.lit('"k"'), F.lit('"compound"')).alias("content")).unionByName(own)
+    return rows.select("id", *texts.parse_tone(F.col("content")))
 
 
 @query("SELECT item_id, md5('before ' || text || ' after') AS filled_md5 FROM benchmark")

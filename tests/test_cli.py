@@ -42,7 +42,7 @@ def test_audits_of_a_corpus(spark, corpus, tmp_path):
     assert len(got["results_per_score_col"]) == 15 and len(got["heatmap"]) == 5
     assert cli.main(["rebootstrap", "--scores", str(out / "scores"), "--out", str(out / "r.json"), "--score-cols", "poverty", "gone", "--bootstrap-reps", "5", "--n-permutations", "1"]) == 0
     assert {r["score_col"] for r in report(out / "r.json")["results_per_score_col"]} == {"poverty"}
-    args = ["decomposition", "--corpus", corpus, "--original-scores", str(out / "scores"), "--stripped-scores", str(out / "scores"), "--out-dir", str(out)]
+    args = ["decomposition", "--corpus", corpus, "--original-scores", str(out / "scores"), "--stripped-scores", str(out / "scores"), "--out-dir", str(out), "--bootstrap-reps", "5", "--n-permutations", "20"]
     assert cli.main(args) == 0 and all(r["delta_di"] in (0, None) for r in report(out / "decomposition.json")["cells"])
 
 

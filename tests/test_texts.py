@@ -178,3 +178,32 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("impact").collect())) == sorted(map(tuple, windowed_impact(events, "ts", group, chosen, "1 day").collect()))
+
+
+def by_tier(text, tier):
+    """Phrases of capitals before a kind of school; then short names with a word of the context near them."""
+    import re
+
+    mark = f"[{texts.TIERS[tier]}_SCHOOL]"
+    text = re.sub(texts.TIER_PHRASE, mark, text, flags=re.A)
+    cues = [m.span() for m in re.finditer(texts.TIER_CUES, text, flags=re.A)]
+    out, at = [], 0
+    for m in re.finditer(r"\b(?:" + "|".join(sorted(texts.TIER_NAMES, key=len, reverse=True)) + r")\b", text, flags=re.A):
+        near = any(0 <= a - m.end() <= texts.TIER_WINDOW or 0 <= m.end() - b <= texts.TIER_WINDOW + 24 for a, b in cues)
+        out += [text[at : m.start()], mark if near else m.group()]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def test_tier_query_by_brute_force(spark, sf):
+    import hashlib
+
+    from paritas.queries import texts as text_queries
+
+    want = {r["id"]: None if r["text"] is None else by_tier(r["text"], r["tier"]) for r in text_queries.tiered(spark, sf).collect()}
+    got = {r["id"]: r for r in text_queries.tier_school_substitution(spark, sf).collect()}
+    assert len(want) > 100 and sum("_SCHOOL]" in (t or "") for t in want.values()) > 50
+    for i, text in want.items():
+        assert got[i]["text_md5"] == hashlib.md5((text or "").encode()).hexdigest(), i
+    literal = {-3: "She studied at [TIER3_SCHOOL], then [TIER3_SCHOOL] and lower-case yale hospital.", -7: "Iowa is flat. Nothing else here.", -8: "He trained as a physician near [TIER2_SCHOOL] and at [TIER2_SCHOOL]."}
+    assert {i: want[i] for i in literal} == literal
