@@ -29,7 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, estimated similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: sets of five-word shingles, similarity of 0.8 or more."""
     return simhash.keep_first(docs)
 
 
@@ -51,7 +51,7 @@ STAGES = [
     ("byte-level BPE", tokenise),
 ]
 
-#: No stage after the first can be expressed in SQL; tests hold ``run`` against a brute-force version.
+#: Line dedup, near-dedup and BPE cannot be expressed in SQL; a test holds ``run`` against a version in plain Python.
 ORACLE_SQL = None
 
 
