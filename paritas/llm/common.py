@@ -103,14 +103,15 @@ HOT_KEYS, SALTS = 1000, 64
 
 
 def join_hot(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], sizes: DataFrame | None = None) -> DataFrame:
-    """Inner join of ``many`` (a written table) with ``one``, whose rows are few a key.
+    """Inner join of ``many`` (a table that is cheap to read again) with ``one``, whose rows are few a key.
 
     Hot keys are dealt to ``SALTS`` tasks by a hash of the columns ``spread``, and their rows of ``one`` to each of them.
-    ``sizes``: ``keys`` and ``n``, if the rows of each key are known. Only the hot keys, at most ``HOT_KEYS``, are broadcast.
+    ``sizes``: ``keys`` and ``n`` in a written table, if the rows of each key (or of all that have several) are known. Only the hot keys, at most ``HOT_KEYS``, are broadcast.
     """
+    total = many.count() if sizes is None else sizes.agg(F.sum("n")).first()[0] or 0
     if sizes is None:
         sizes = many.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = F.broadcast(sizes.where(F.col("n") > many.count() / HOT_KEYS).select(*keys, F.lit(True).alias("hot_")))
+    hot = F.broadcast(sizes.where(F.col("n") > total / HOT_KEYS).select(*keys, F.lit(True).alias("hot_")))
     salt = F.when(F.col("hot_"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int")
     salts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = many.join(hot, keys, "left").withColumn("salt_", salt).drop("hot_")

@@ -7,8 +7,8 @@ index, and reads each record by its range; nothing is extracted.
 
 Equal payloads: the record of the smallest page id is a response, others are revisits that name it and carry
 no payload. Digests are grouped first, pre-aggregated before the shuffle; the pages are then joined with the
-first page of their digest. A digest that a third of all pages share is one key of that join, which Spark splits
-as its other side has one row; no pages are gathered.
+first page of their digest. The pages of a digest that many share are dealt to many tasks (``join_hot``); no pages are
+gathered.
 
 Tasks write archives of bounded size to the shared folder under names of their own; the list of archives is
 written after them, so that archives of lost or repeated attempts are not read.
@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import materialise, new_path, pick, worker_state
+from paritas.llm.common import join_hot, materialise, new_path, pick, worker_state
 
 #: Bytes of compressed records in an archive, at least one record.
 ARCHIVE_BYTES = 32 << 20
@@ -197,8 +197,8 @@ def firsts(pages: DataFrame) -> DataFrame:
     """Pages with the digest of their payload and the smallest page id that has it."""
     rows = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    least = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    return rows.join(least, "sha1").select("page_id", "url", "html", "sha1", "first")
+    least = materialise(rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "digests")
+    return join_hot(rows, least.select("sha1", "first"), ["sha1"], ["page_id"], least.select("sha1", "n")).select("page_id", "url", "html", "sha1", "first")
 
 
 def write(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> DataFrame:
@@ -246,7 +246,8 @@ def write(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIV
 def read(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
     """The records of listed archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response's size and digest are of the payload that was read; a revisit's are what its headers say.
+    A response's size and digest are of the payload that was read; a revisit's are what its headers say. Ids are text in
+    the archives; ``id_type`` is the type that they had ("string" where they are no whole numbers, which would be null).
     """
     spark = archives.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
