@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paritas.llm.common import materialise, pick, worker_state
+from paritas.llm.common import join_hot, materialise, pick, worker_state
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Fingerprints that balance the trees, and those that a shard is meant to hold.
-SAMPLE, SHARD = 20_000, 4096
+#: Fingerprints that a shard is meant to hold; most shards of a tree, which bounds what is sent; sample rows: a shard, least.
+SHARD, SHARDS, PER_SHARD, SAMPLE = 4096, 50_000, 4, 8192
 _LEAF = 64
 
 
@@ -212,20 +212,25 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int) -> list[tuple[int, in
     return list(zip(low.tolist(), parent[low].tolist()))
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def sample_size(n: int, shard: int = SHARD) -> int:
+    """Rows that balance a tree over ``n``: some for each shard; above ``SHARDS`` shards of that size, shards grow instead."""
+    return max(SAMPLE, PER_SHARD * min(SHARDS, -(-n // shard)))
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (``a`` > ``b``, as signed longs) that connect all fingerprints within ``radius`` bits.
 
     ``distinct``: one row per fingerprint, column ``fp``.
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    least = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(sample)
+    least = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(sample_size(n, shard))
     got = np.array([r[0] for r in least.collect()], np.int64).view(np.uint64)
     per_leaf = max(1, int(shard * len(got) / max(n, 1)))
     rng, count, trees = np.random.default_rng(7), [0], []
     for mask in _block_masks(radius):
         trees.append(build(got, mask, radius, per_leaf, count, rng))
-    sent = spark.sparkContext.broadcast(trees)  # its size follows the number of shards, of at most ``sample`` leaves a tree
+    sent = spark.sparkContext.broadcast(trees)  # of at most ``PER_SHARD * SHARDS`` leaves a tree
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("simhash")
@@ -276,24 +281,41 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``fp``, ``component_id`` (smallest id reachable over links, itself included)."""
     prints = materialise(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    distinct = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct")
     labels = components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(roots, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+    linked = materialise(distinct.select("fp", "least").join(labels, "fp"), "linked")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = join_hot(linked, roots, ["root"], ["fp"]).select("fp", "component_id")
+    by_print = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return join_hot(prints, by_print, ["fp"], [id_col], distinct.select("fp", "n")).select(id_col, "fp", "component_id")
 
 
 #: Whole documents: sets of five-word shingles are near duplicates at a Jaccard similarity of ``WIDE_SIMILARITY`` or more.
 WIDE_SHINGLE, WIDE_SIMILARITY = 5, 0.8
-#: Candidates: fingerprints of 640 bits that agree in one of 50 blocks of 12 bits (five a word; the top 4 bits of a word are
-#: in no block) and differ in at most 64 of the first 256 bits. Each bit of two large sets at 0.8 differs with a chance of
-#: 0.1515: 39 of 256 bits (deviation 5.7), and a block agrees with a chance of 0.139, one of 50 with 0.9994. The worst are
-#: sets of 4 and 5 shingles: 0.1875 a bit, 48 bits (deviation 6.2), 0.987 for the blocks. Strangers differ in 128.
-#: A block value holds n / 4096 documents; over some 20 million documents take 16 bits and more words.
-WIDE_WORDS, WIDE_BLOCK, WIDE_COMPARED, WIDE_RADIUS = 10, 12, 4, 64
-#: Documents that balance the 50 trees, whose size this bounds.
-WIDE_SAMPLE = 8192
+#: Candidates: fingerprints of 640 bits that agree in one of some blocks of bits and differ in at most 64 of the first 256.
+#: Each bit of two large sets at 0.8 differs with a chance of 0.1515: 39 of 256 bits (deviation 5.7). The worst are sets of
+#: 4 and 5 shingles: 0.1875 a bit, 48 bits (deviation 6.2). Strangers differ in 128.
+WIDE_WORDS, WIDE_COMPARED, WIDE_RADIUS, WIDE_APART = 10, 4, 64, 0.1515
+#: Bits of a block at least; documents that its values are meant to hold; chance that two large sets at 0.8 agree in none.
+WIDE_BLOCK, WIDE_BUCKET, WIDE_MISS = 12, 4096, 0.0005
+
+
+def wide_blocks(n: int) -> list[np.ndarray]:
+    """Places of the bits of each block, for ``n`` documents: blocks as wide as it takes for values to hold so many
+    documents, and as many as it takes for the chance of a miss: 51 of 12 bits up to 16 million, 102 of 16 for 250 million.
+    """
+    width = max(WIDE_BLOCK, int(np.ceil(np.log2(max(n, 1) / WIDE_BUCKET))))
+    count = int(np.ceil(np.log(WIDE_MISS) / np.log(1 - (1 - WIDE_APART) ** width)))
+    rng = np.random.default_rng(width)
+    return [np.sort(rng.choice(64 * WIDE_WORDS, width, replace=False)) for _ in range(count)]
+
+
+def block_values(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The bits of one block of each fingerprint, as a number."""
+    out = np.zeros(len(fps), np.uint64)
+    for at in bits.tolist():
+        out = (out << np.uint64(1)) | ((fps[:, at // 64] >> np.uint64(at % 64)) & np.uint64(1))
+    return out
 
 
 def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
@@ -325,27 +347,25 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _wide_blocks(words_: int = WIDE_WORDS, bits: int = WIDE_BLOCK) -> list[tuple[int, int]]:
-    """(word, mask) of the blocks that lie within a word."""
-    return [(w, ((1 << bits) - 1) << (bits * i)) for w in range(words_) for i in range(64 // bits)]
-
-
 def bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect all rows within ``radius`` bits: to the first row where it is near, else each to each."""
+    """Links that connect all rows within ``radius`` bits: to the row of some that is near most, else each to each."""
     near = lambda rows, others: np.bitwise_count(fps[rows][:, None, :] ^ fps[others][None, :, :]).sum(axis=2, dtype=np.int32) <= radius
     every = np.arange(len(fps))
-    first = near(every[:1], every)[0]
-    out = [(int(i), 0) for i in np.flatnonzero(first) if i]
-    rest, step = np.flatnonzero(~first), max(1, 400_000 // len(fps))
+    some = every[:: max(1, len(fps) // 8)]
+    found = near(some, every)
+    best = int(found.sum(axis=1).argmax())
+    hub, core = int(some[best]), found[best]
+    out = [(int(i), hub) for i in np.flatnonzero(core) if i != hub]
+    rest, step = np.flatnonzero(~core), max(1, 400_000 // len(fps))
     for at in range(0, len(rest), step):
         rows = rest[at : at + step]
         q, p = np.nonzero(near(rows, every))
         q = rows[q]
-        # a link to a row near the first is one of many to the same component: one for each is enough
-        core = first[p]
-        some, where = np.unique(q[core], return_index=True)
-        out += list(zip(some.tolist(), p[core][where].tolist()))
-        apart = ~core & (p < q)
+        # a link to a row near the hub is one of many to the same component: one for each is enough
+        inside = core[p]
+        first, where = np.unique(q[inside], return_index=True)
+        out += list(zip(first.tolist(), p[inside][where].tolist()))
+        apart = ~inside & (p < q)
         out += list(zip(q[apart].tolist(), p[apart].tolist()))
     return out
 
@@ -389,7 +409,7 @@ def set_links(sets: list[np.ndarray], similarity: float = WIDE_SIMILARITY) -> li
     return out
 
 
-def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size: int = WIDE_SHINGLE, sample: int = WIDE_SAMPLE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size: int = WIDE_SHINGLE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document with an id: id, and ``component_id``, the smallest id among its near duplicates and their near duplicates.
 
     A vantage-point tree for each block of bits deals the fingerprints to shards (inside a block the radius is 0, so
@@ -412,13 +432,13 @@ def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(WIDE_WORDS))], names=["id", "digest", *parts])
 
     prints = materialise(rows.mapInArrow(run, "id long, digest binary, " + ", ".join(f"{p} long" for p in parts)), "wide")
-    distinct = materialise(prints.groupBy("digest", *parts).agg(F.min("id").alias("least")), "wide-distinct")
+    distinct = materialise(prints.groupBy("digest", *parts).agg(F.min("id").alias("least"), F.count("*").alias("n")), "wide-distinct")
     spark, n = docs.sparkSession, distinct.count()
-    least = distinct.select(*parts).orderBy(F.xxhash64(*parts), *parts).limit(sample).collect()
+    least = distinct.select(*parts).orderBy(F.xxhash64(*parts), *parts).limit(sample_size(n, shard)).collect()
     got = np.array([tuple(r) for r in least], np.int64).reshape(-1, WIDE_WORDS).view(np.uint64)
-    per_leaf, rng, count = max(1, int(shard * len(got) / max(n, 1))), np.random.default_rng(7), [0]
-    blocks = _wide_blocks()
-    trees = [build(got[:, w], mask, -1, per_leaf, count, rng) for w, mask in blocks]
+    blocks = wide_blocks(n)
+    per_leaf, rng, count, every_bit = max(1, int(shard * len(got) / max(n, 1))), np.random.default_rng(7), [0], (1 << len(blocks[0])) - 1
+    trees = [build(block_values(got, bits), every_bit, -1, per_leaf, count, rng) for bits in blocks]
     sent = spark.sparkContext.broadcast(trees)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,10 +447,9 @@ def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size
             fps = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(WIDE_WORDS)], axis=1).view(np.uint64)
             every, here = np.arange(len(fps)), np.ones(len(fps), bool)
             found = []
-            for tree, (w, mask) in zip(sent.value, blocks):
-                word = np.ascontiguousarray(fps[:, w])
-                value = (word & np.uint64(mask)).view(np.int64)
-                found += [(number, at, value[at]) for number, at, _ in route(tree, word, every, here)]
+            for tree, bits in zip(sent.value, blocks):
+                value = block_values(fps, bits)
+                found += [(number, at, value[at].view(np.int64)) for number, at, _ in route(tree, value, every, here)]
             if found:
                 kept = batch.select([*compared, "least"]).take(pa.array(np.concatenate([at for _, at, _ in found])))
                 numbers = np.repeat(np.array([x for x, _, _ in found], np.int32), [len(at) for _, at, _ in found])
@@ -464,7 +483,7 @@ def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size
     sets = rows.join(candidates, "id").select("id", "text", "root").mapInArrow(gather, "id long, hashes binary, root long").dropDuplicates(["id", "hashes"])
     labels = components(materialise(sets.groupBy("root").applyInArrow(verify, "a long, b long"), "wide-links"))
     roots = distinct.join(labels.select(F.col("fp").alias("least"), "root"), "least", "left").select("digest", F.coalesce("root", "least").alias("component_id"))
-    return prints.join(roots, "digest").select(F.col("id").alias(id_col), "component_id")
+    return join_hot(prints, roots, ["digest"], ["id"], distinct.select("digest", "n")).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
