@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paritas.llm.quality import BIT, mask
+from paritas.llm.quality import BIT, DEFAULT_POLICY, POLICIES, mask
 
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,6 +31,12 @@ f AS (SELECT *, ({_BITS})::BIGINT AS fail_bits FROM m)
 SELECT *, fail_bits & {mask('v1')} <> 0 AS base_failed, 'v2' AS policy, fail_bits & {mask('v1') | mask('v2')} = 0 AS kept FROM f
 """
 
+_ONES = ", ".join(f"('{name}', {1 << BIT[name]})" for name in POLICIES[DEFAULT_POLICY])
+ABLATIONS = f"""
+WITH q AS (SELECT fail_bits & {mask(DEFAULT_POLICY)} AS bits FROM ({QUALITY})), rules(rule, bit) AS (VALUES {_ONES})
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_fail, count(*) FILTER (bits = bit) AS n_fail_alone, count(*) FILTER (bits & ~bit = 0) AS n_kept_without FROM q, rules GROUP BY rule
+"""
+
 CONTAMINATION = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),

@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(load(spark, sf_dir, "documents")))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(load(spark, sf_dir, "documents")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -62,8 +66,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {f.__name__: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"quality_ablations": quality_ablations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.QUALITY, "op2_decontamination": oracles.CONTAMINATION, "op5_warc": oracles.WARC}
+    return {"op1_quality_rules": oracles.QUALITY, "quality_ablations": oracles.ABLATIONS, "op2_decontamination": oracles.CONTAMINATION, "op5_warc": oracles.WARC}

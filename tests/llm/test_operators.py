@@ -370,6 +370,11 @@ def test_archives(spark, zip64):
             assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {0} and set(z.namelist()) == {warc.DATA, warc.INDEX}
 
 
+def test_archives_of_pages_with_text_ids(spark):
+    written = warc.write(spark.createDataFrame([("b", "u", "x"), ("a", "u", "x"), ("c", "u", "y")], "page_id string, url string, html string"))
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(written, "string").collect()) == [("a", "response", None), ("b", "revisit", "a"), ("c", "response", None)]
+
+
 def test_archive_reader_finds_the_end_behind_a_comment(tmp_path):
     import zipfile
 
