@@ -1,4 +1,4 @@
-"""Fitted models: their rows depend on an optimiser, so they have no SQL."""
+"""Fitted models. Rows of most depend on an optimiser, so they have no SQL; the calibration fit is replayed step by step."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paritas.operators import models, selection
 from paritas.operators import simulation as sim
 from paritas.operators.metrics import classification_metrics
-from paritas.queries.roles import evaluated
+from paritas.queries.roles import EVALUATED, evaluated
 from paritas.queries.selection import r6
 from paritas.queries.simulation import people
 
@@ -34,6 +34,18 @@ def _screen(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return r6(out).withColumn("model", F.lit(name))
 
 
+#: Newton's method for slope and intercept: 25 steps of five sums per group.
+SQL["calibration_audit"] = f"""WITH RECURSIVE {EVALUATED},
+x AS (SELECT grp AS g, label::DOUBLE AS y, ln(greatest(1e-6, least(1 - 1e-6, proba)) / (1 - greatest(1e-6, least(1 - 1e-6, proba)))) AS x FROM e),
+c AS (SELECT g, count(*) AS n, min(y) AS low, max(y) AS high FROM x GROUP BY g),
+w AS (SELECT g, 0 AS step, 0.0::DOUBLE AS s, 0.0::DOUBLE AS b FROM c WHERE n >= 10 AND low <> high UNION ALL
+  SELECT g, step + 1, s + (gx * h - g1 * hx) / (hxx * h - hx * hx), b + (hxx * g1 - hx * gx) / (hxx * h - hx * hx) FROM (
+    SELECT g, step, s, b, sum((y - p) * x) - 1e-6 * s AS gx, sum(y - p) AS g1, sum(p * (1 - p) * x * x) + 1e-6 AS hxx, sum(p * (1 - p) * x) AS hx, sum(p * (1 - p)) AS h
+    FROM (SELECT w.g, step, s, b, y, x, 1 / (1 + exp(-(s * x + b))) AS p FROM w JOIN x ON w.g = x.g WHERE step < 25) GROUP BY g, step, s, b))
+SELECT 'group_' || i AS part, round(s, 6) AS calibration_slope, round(b, 6) AS calibration_intercept, coalesce(n, 0) AS n
+FROM (SELECT unnest([0, 1]) AS i) LEFT JOIN c ON c.g = i LEFT JOIN (SELECT * FROM w WHERE step = 25) AS f ON f.g = i"""
+
+
 @query
 def calibration_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(models.calibration(evaluated(spark, sf_dir)))
