@@ -409,13 +409,89 @@ def set_links(sets: list[np.ndarray], similarity: float = WIDE_SIMILARITY) -> li
     return out
 
 
+#: Sets that one task compares with each other; of a larger component, parts of about so many meet two at a time.
+PART = 1000
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of a set with others; two empty sets are equal."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    inside = np.isin(np.concatenate(others), one)
+    common = np.bincount(np.repeat(np.arange(len(others)), sizes)[inside], minlength=len(others))
+    union = sizes + len(one) - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
+
+
+def _links(pairs: list[tuple[int, int]], ids: np.ndarray) -> pa.Table:
+    links = _compress(pairs, ids)
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def exact_links(sets: DataFrame, sizes: DataFrame, similarity: float = WIDE_SIMILARITY, part: int = PART) -> DataFrame:
+    """Links (``a`` > ``b``) that connect all sets of a component of this Jaccard similarity or more.
+
+    ``sets``: id, hashes, root (the least id of the component) and ``n``, the component's size; ``sizes``: root, n. A
+    component of up to ``part`` sets is compared in one task. In a larger one all sets are compared with the root's, part
+    by part; those that it links need not be compared with each other. The others are then compared with all, two parts
+    in a task; by the triangle bound of the Jaccard distance, one that is further from the root than twice the distance
+    of links cannot be linked to a set that the root links.
+    """
+    edge, far = 1e-9, 2 * similarity - 1 - 1e-9
+
+    def whole(table: pa.Table) -> pa.Table:
+        return _links(set_links(_sets(table), similarity), table.column("id").to_numpy())
+
+    small = sets.where(F.col("n") <= part).select("id", "hashes", "root").groupBy("root").applyInArrow(whole, "a long, b long")
+    if not sizes.where(F.col("n") > part).limit(1).count():
+        return small
+    parts = lambda n: F.ceil(F.col(n) / part).cast("int")
+    large = materialise(sets.where(F.col("n") > part).withColumn("part", F.pmod(F.xxhash64("id"), parts("n")).cast("int")), "wide-large")
+    first = large.where("id = root").dropDuplicates(["root"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
+    both = large.withColumn("hub", F.lit(False)).unionByName(first.withColumn("hub", F.lit(True)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        hub = table.column("hub").to_numpy(zero_copy_only=False).astype(bool)
+        mine = table.filter(pa.array(~hub))
+        near = _similar(_sets(table.filter(pa.array(hub)))[0], _sets(mine)) if mine.num_rows else np.zeros(0)
+        state = np.where(near >= similarity - edge, 2, np.where(near >= far, 1, 0)).astype(np.int32)
+        return mine.select(["id", "hashes", "root", "part"]).append_column("state", pa.array(state))
+
+    told = materialise(both.groupBy("root", "part").applyInArrow(meet, "id long, hashes binary, root long, part int, state int"), "wide-told")
+    by_root = told.where("state = 2 AND id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    open_ = materialise(told.where("state < 2").groupBy("root").agg(F.count("*").alias("m")), "wide-open")
+    members = join_hot(told, open_, ["root"], ["id"]).withColumn("of", F.explode(F.sequence(F.lit(0), parts("m") - 1)))
+    counts = sizes.where(F.col("n") > part).join(open_, "root")
+    asked = join_hot(told.where("state < 2").drop("part"), counts, ["root"], ["id"], open_.select("root", F.col("m").alias("n")))
+    asked = asked.withColumn("of", F.pmod(F.xxhash64("id", F.lit(1)), parts("m")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
+    columns = ["root", "part", "of", "id", "hashes", "state"]
+    cells = members.select(*columns, F.lit(False).alias("asks")).unionByName(asked.select(*columns, F.lit(True).alias("asks")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids, state, every = table.column("id").to_numpy(), table.column("state").to_numpy(), _sets(table)
+        pairs: list[tuple[int, int]] = []
+        for q in np.flatnonzero(asks):
+            others = np.flatnonzero(~asks & ((state < 2) | (state[q] == 1)))
+            if len(others):
+                near = _similar(every[q], [every[i] for i in others]) >= similarity - edge
+                pairs += [(int(q), int(i)) for i in others[near] if ids[i] != ids[q]]
+        return _links(pairs, ids)
+
+    rest = cells.groupBy("root", "part", "of").applyInArrow(compare, "a long, b long")
+    return small.unionByName(by_root).unionByName(rest)
+
+
 def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size: int = WIDE_SHINGLE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document with an id: id, and ``component_id``, the smallest id among its near duplicates and their near duplicates.
 
     A vantage-point tree for each block of bits deals the fingerprints to shards (inside a block the radius is 0, so
-    nothing is copied within a tree); in a shard, fingerprints of equal block values are compared. Documents that such
-    candidate links connect meet in one task, where their sets of shingles are compared: only exact links count.
-    Equal sets are merged before.
+    nothing is copied within a tree); in a shard, fingerprints of equal block values are compared. Of the documents that
+    such candidate links connect, the sets of shingles are compared (``exact_links``): only exact links count. Equal
+    fingerprints with equal sets are merged before.
     """
     rows = pick(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = [f"f{i}" for i in range(WIDE_WORDS)]
@@ -471,17 +547,14 @@ def similar_documents(docs: DataFrame, similarity: float = WIDE_SIMILARITY, size
         worker_state("simhash")
         for batch in batches:
             sets = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["id", "hashes", "root"])
-
-    def verify(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-        links = _compress(set_links(sets, similarity), table.column("id").to_numpy())
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *batch.columns[2:]], names=["id", "hashes", "root", "n"])
 
     dealt = distinct.select(*parts, "least").mapInArrow(deal, "shard int, value long, " + ", ".join(f"{p} long" for p in compared) + ", least long")
     candidates = components(materialise(dealt.groupBy("shard").applyInArrow(search, "a long, b long").distinct(), "wide-candidates")).select(F.col("fp").alias("id"), "root")
-    sets = rows.join(candidates, "id").select("id", "text", "root").mapInArrow(gather, "id long, hashes binary, root long").dropDuplicates(["id", "hashes"])
-    labels = components(materialise(sets.groupBy("root").applyInArrow(verify, "a long, b long"), "wide-links"))
+    sizes = materialise(candidates.groupBy("root").agg(F.count("*").alias("n")), "wide-sizes")
+    sized = join_hot(candidates, sizes, ["root"], ["id"], sizes)
+    sets = rows.join(sized, "id").select("id", "text", "root", "n").mapInArrow(gather, "id long, hashes binary, root long, n long").dropDuplicates(["id", "hashes"])
+    labels = components(materialise(exact_links(sets, sizes, similarity), "wide-links"))
     roots = distinct.join(labels.select(F.col("fp").alias("least"), "root"), "least", "left").select("digest", F.coalesce("root", "least").alias("component_id"))
     return join_hot(prints, roots, ["digest"], ["id"], distinct.select("digest", "n")).select(F.col("id").alias(id_col), "component_id")
 

@@ -164,3 +164,28 @@ def test_wide_blocks_find_the_same(spark, larger, monkeypatch):
     assert len(simhash.wide_blocks(len(rows))[0]) > 15
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, shard=64).collect()}
     assert got == components([d for d, _ in rows], exact_pairs(rows))
+
+
+@pytest.mark.parametrize("part", [5, 40])
+def test_large_components_part_by_part(spark, part):
+    """Sets around a few centres, as one candidate component: the links of all parts give the groups of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = [rng.choice(2000, 60, replace=False) for _ in range(5)]
+    sets = [np.zeros(0, np.uint64)] * 2 + [np.unique(np.concatenate([rng.permutation(centres[i % 5])[: 60 - int(rng.integers(0, 12))], rng.integers(0, 2000, int(rng.integers(0, 6)))])).astype(np.uint64) for i in range(118)]
+    ids = (rng.permutation(120) + 1).tolist()
+    rows = [(i, s.tobytes(), min(ids), 120) for i, s in zip(ids, sets)] + [(200 + i, s.tobytes(), 200, 3) for i, s in enumerate(sets[:1] + sets[5:7])]
+    frame = spark.createDataFrame(rows, "id long, hashes binary, root long, n long")
+    sizes = spark.createDataFrame([(min(ids), 120), (200, 3)], "root long, n long")
+    got = [(r["a"], r["b"]) for r in simhash.exact_links(frame, sizes, part=part).collect()]
+    of = {r[0]: {*np.frombuffer(r[1], np.uint64).tolist()} for r in rows}
+    exact = [(a, b) for a in of for b in of if a > b and (a < 200) == (b < 200) and (5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b]))]
+    assert components(of, got) == components(of, exact)
+    assert 5 < len(set(components(of, exact).values())) < 110
+
+
+def test_pipeline_components_part_by_part(spark, larger, monkeypatch):
+    docs, rows = larger
+    monkeypatch.setattr(simhash, "PART", 3)
+    monkeypatch.setattr(simhash.exact_links, "__defaults__", (simhash.WIDE_SIMILARITY, 3))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert got == components([d for d, _ in rows], exact_pairs(rows))
