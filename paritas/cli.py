@@ -39,7 +39,8 @@ def mitigator(a) -> None:
     report = {"axes": both, "effect": effect}
     if a.n_permutations:
         pairs = audits.paired_cells(rows, {"score": ("score_baseline", "score_mitigated")}, AXES, ID)
-        report["paired"] = inference.paired_permutation(pairs, "before", "after", "grp", ID, a.top_frac, a.n_permutations, a.seed, ["axis"])
+        paired = inference.paired_permutation(pairs, "before", "after", "grp", ID, a.top_frac, a.n_permutations, a.seed, ["axis"]).cache()
+        report |= {f"paired_{axis}": paired.where(F.col("axis") == axis).drop("axis") for axis in AXES}
     corpora.write_scores(rows, f"{a.out_dir}/scores")
     corpora.write_report(report, f"{a.out_dir}/audit_1.json")
 
@@ -122,7 +123,7 @@ def counterfactual(a) -> None:
     for model in a.models:
         part = simulations.counterfactual(spark, _anchorings(spark, a), a.n, a.invite_rate, a.narrative_sd, a.reps, a.seed, model).withColumn("model", F.lit(model))
         got = part if got is None else got.unionByName(part)
-    corpora.write_report({"stages": got}, a.out)
+    corpora.write_report({"stages": got, "bars": simulations.model_bars(got)}, a.out)
 
 
 def disclosure(a) -> None:

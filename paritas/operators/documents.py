@@ -76,6 +76,19 @@ def extractor_scores(sentences: DataFrame, questions: DataFrame, key: str = "doc
     return per.unionByName(per.groupBy(key).agg(F.lit("_total").alias("question"), F.sum("score").alias("score")))
 
 
+def numbered(df: DataFrame, order: str, to: str = "applicant_id") -> DataFrame:
+    """``df`` with ids A0001, A0002, ... by the order of ``order`` (a line number, say), for corpora that come without.
+
+    Places are counted partition by partition, with one small row each, so no task numbers all rows.
+    """
+    sized = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("p_"), F.monotonically_increasing_id().alias("m_"))
+    at = F.col("m_") - F.shiftleft(F.col("p_").cast("long"), 33)
+    rows = sized.withColumn("at_", at).drop("m_")
+    counts = rows.groupBy("p_").agg(F.count(F.lit(1)).alias("n_"))
+    before = counts.select("p_", (F.sum("n_").over(Window.orderBy("p_")) - F.col("n_")).alias("before_"))  # one row per partition
+    return rows.join(F.broadcast(before), "p_").withColumn(to, F.format_string("A%04d", F.col("before_") + F.col("at_") + 1)).drop("p_", "at_", "before_")
+
+
 def score_deltas(baseline: DataFrame, other: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows (key, question, baseline, counterfactual, delta) of two long tables of scores."""
     joined = baseline.select(key, "question", F.col("score").alias("baseline")).join(other.select(key, "question", F.col("score").alias("counterfactual")), [key, "question"])

@@ -101,6 +101,30 @@ def disclosure_sweep(spark: SparkSession, anchoring: tuple, rates: Sequence[floa
     return percentile_interval(long, "value", ["rate", "metric"])
 
 
+def bootstrap_metrics(spark: SparkSession, replicate, reps: int, seed: int = 0, metrics: Sequence[str] | None = None, alpha: float = 0.05) -> DataFrame:
+    """Any replicate function, from a seed to a dict of metrics: rows (metric, interval) over seeds ``seed``, ``seed`` + 1, ...
+
+    Runs on executors. ``metrics``: only these; one that a replicate lacks is undefined there.
+    """
+
+    def one(_: dict, at: int) -> dict:
+        told = replicate(at)
+        return told if metrics is None else {m: told.get(m, float("nan")) for m in metrics}
+
+    return parameter_sweep(spark, [{}], one, reps, seed, "none_ string", alpha).drop("none_")
+
+
+def model_bars(stages: DataFrame) -> DataFrame:
+    """Rows (model, anchoring, stage, point, ci_lo, ci_hi, passes) of the ratio: what bars grouped by model show; passes within [0.8, 1.25].
+
+    ``stages``: results of ``counterfactual`` with a column ``model``.
+    """
+    from paritas.functions.scalars import four_fifths
+
+    rows = stages.where("metric = 'disparate_impact'")
+    return rows.select("model", "anchoring", "stage", "point", "ci_lo", "ci_hi", four_fifths(F.col("point"), True).alias("passes"))
+
+
 def parameter_sweep(spark: SparkSession, grid: Sequence[dict], replicate, reps: int, seed: int, schema: str, alpha: float = 0.05) -> DataFrame:
     """Any replicate function over a grid of parameters: rows (parameters, metric, interval).
 

@@ -207,3 +207,67 @@ def test_tier_query_by_brute_force(spark, sf):
         assert got[i]["text_md5"] == hashlib.md5((text or "").encode()).hexdigest(), i
     literal = {-3: "She studied at [TIER3_SCHOOL], then [TIER3_SCHOOL] and lower-case yale hospital.", -7: "Iowa is flat. Nothing else here.", -8: "He trained as a physician near [TIER2_SCHOOL] and at [TIER2_SCHOOL]."}
     assert {i: want[i] for i in literal} == literal
+
+
+LEXICON = {"good": 1.9, "great": 3.1, "bad": -2.5, "horrible": -2.5, "kind": 2.4}
+
+
+def compound(total):
+    return total / (total * total + 15) ** 0.5
+
+
+@pytest.mark.parametrize(
+    "text,total",
+    [
+        ("it was good", 1.9), ("it was not good", 1.9 * -0.74), ("it was very good", 1.9 + 0.293), ("it was slightly good", 1.9 - 0.293), ("it wasn't a good day", 1.9 * -0.74),
+        ("it was GOOD", 1.9 + 0.733), ("GOOD", 1.9), ("it was good!!", 1.9 + 2 * 0.292), ("bad!!!!!!", -2.5 - 4 * 0.292), ("really, a good day", 1.9 + 0.293 * 0.95), ("good but horrible", 1.9 * 0.5 - 2.5 * 1.5),
+        ("nothing of value", 0.0), ("good?? kind", 4.3 + 0.36), ("so far from what was kind", 2.4),
+    ],
+)
+def test_tone_rules(text, total):
+    from paritas.functions import sentiment
+
+    neg, neu, pos, got = sentiment.tone(text, LEXICON)
+    assert got == pytest.approx(compound(total)) and neg + neu + pos == pytest.approx(1)
+
+
+def test_tone_of_nothing(spark):
+    from paritas.functions import sentiment
+
+    assert sentiment.tone("", LEXICON) == sentiment.tone(None, LEXICON) == (0.0, 1.0, 0.0, 0.0)
+    got = apply(spark, lambda t: sentiment.lexicon_tone(LEXICON)(t)["compound"], "it was good", None)
+    assert got == [pytest.approx(compound(1.9)), 0.0]
+
+
+def test_instruments_by_name(spark):
+    from paritas.plans.instruments import instruments
+
+    with pytest.raises(ValueError, match="nosuch"):
+        instruments(["lexicon", "nosuch"], lexicon=LEXICON)
+    some = instruments(["llm", "lexicon", "transformer"], lexicon=LEXICON, ask=lambda t: F.concat(F.lit('{"compound": 0.5, "rationale": "'), t, F.lit('"}')), transformer=lambda t: F.length(t) * 1.0)
+    assert list(some) == ["llm", "lexicon", "transformer"]
+    document = "FIRST PART\nit was good\nSECOND PART\nit was a bad and horrible day\n"
+    rows, lowest = audits.paragraph_audit(spark.createDataFrame([("a", document)], "id string, text string"), "id", "text", some, 2)
+    got = {r["label"]: (r["llm"], round(r["lexicon"], 4), r["transformer"]) for r in rows.collect()}
+    assert got == {"FIRST PART": (0.5, round(compound(1.9), 4), 1.0), "SECOND PART": (0.5, round(compound(-5.0), 4), 1.0)}
+    assert {r["instrument"]: r["lowest"] for r in lowest.collect()}["lexicon"] == "SECOND PART"
+
+
+def test_default_ids(spark):
+    rows = spark.range(500).select((500 - F.col("id")).alias("line"), F.lit("x").alias("text")).repartition(7)
+    got = {r["line"]: r["applicant_id"] for r in documents.numbered(rows, "line").collect()}
+    assert got == {i: f"A{i:04d}" for i in range(1, 501)}
+
+
+def test_bootstrap_metrics_and_model_bars(spark):
+    from paritas.plans import simulations
+
+    def replicate(seed):
+        return {"a": float(seed), "b": 1.0} if seed % 2 else {"a": float(seed)}
+
+    got = {r["metric"]: tuple(r)[1:] for r in simulations.bootstrap_metrics(spark, replicate, 5, 10).collect()}
+    assert got["a"][:2] == (12.0, 12.0) and got["a"][4] == 5 and got["b"][4] == 2
+    only = {r["metric"]: r["n_reps"] for r in simulations.bootstrap_metrics(spark, replicate, 5, 10, ["b", "c"]).collect()}
+    assert only == {"b": 2, "c": 0}
+    stages = spark.createDataFrame([("m", "x", s, k, p, p - 0.1, p + 0.1) for s, p in (("baseline", 0.7), ("counterfactual", 0.9)) for k in ("disparate_impact", "selection_rate_group0")], "model string, anchoring string, stage string, metric string, point double, ci_lo double, ci_hi double")
+    assert sorted((r["model"], r["stage"], r["passes"]) for r in simulations.model_bars(stages).collect()) == [("m", "baseline", False), ("m", "counterfactual", True)]
