@@ -91,24 +91,89 @@ def permutation_mc(df: DataFrame, score: str, group: str, keys: Sequence[str], f
     return got.select("observed_di", ((F.col("n_extreme") + 1) / (F.col("n_perms_valid") + 1)).alias("p_value"), "n_perms_run", "n_perms_valid", "n_extreme", F.lit(tail).alias("tail"))
 
 
+#: Buckets by the first hexadecimal digits of a hash, in which rows are numbered, and positions that one array of states holds.
+DIGITS, CHUNK = 3, 1 << 16
+#: Half widths of brackets around the border, in ranks over n; the accuracy of the sketch; deviations of the number of draws above a score.
+HALVES, SKETCH, DRAW_DEVIATIONS = tuple(2.0**-i for i in range(1, 11)), 10_000, 8
+
+
+def _numbered(rows: DataFrame, stratum: Sequence[str], keys: Sequence[str], seed: int) -> DataFrame:
+    """``rows`` with their number in the stratum, by tie hash (``at``), and its size (``m``): places in buckets of the hash, and sizes of the buckets before."""
+    hashed = rows.withColumn("h_", tie_key(seed, *map(F.col, keys))).withColumn("p_", F.substring("h_", 1, DIGITS))
+    sizes = hashed.groupBy(*stratum, "p_").agg(F.count(F.lit(1)).alias("c_"))
+    whole = Window.partitionBy(*stratum)
+    before = F.sum("c_").over(whole.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("before_", F.coalesce(before, F.lit(0))).withColumn("m", F.sum("c_").over(whole)).drop("c_")
+    place = F.row_number().over(Window.partitionBy(*stratum, "p_").orderBy("h_")) - 1
+    return hashed.join(sizes, [*stratum, "p_"]).withColumn("at", (F.col("before_") + place).cast("long")).drop("h_", "p_", "before_")
+
+
+def _draw_bracket(rows: DataFrame, fraction: float, cells: Sequence[str]) -> DataFrame:
+    """Per cell: scores (missing: least) between which the border of a resample lies, by deviations of a binomial number; null for a few rows."""
+    p = [x for h in HALVES for x in (max(0.0, 1 - fraction - h), min(1.0, 1 - fraction + h))]
+    stats = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("n_"), F.percentile_approx("z_", p, SKETCH).alias("q_"))
+    need = (DRAW_DEVIATIONS * F.sqrt(fraction * (1 - fraction) * F.col("n_")) + DRAW_DEVIATIONS**2) / F.col("n_") + 2 / SKETCH
+    end = lambda side: F.coalesce(*(F.when(need <= h, F.get("q_", F.lit(2 * i + side))) for i, h in reversed(list(enumerate(HALVES)))))
+    return stats.select(*cells, end(0).alias("lo_"), end(1).alias("hi_"))
+
+
+def _resampled(numbered: DataFrame, reps: DataFrame, fraction: float, seed: int, stratum: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """Per cell and repetition: selection rates of the groups, and whether the border lies among the draws that were ranked (``holds_``).
+
+    ``numbered`` has ``state_``: 2 for rows above any border, 1 for rows near it, 0 for rows below. ``reps``: rows (cells,
+    rep), or rep alone for all cells. States and groups are looked up by position in arrays, a byte a row, that are
+    broadcast; draws are counted by group and state, only those near the border are ranked.
+    """
+    code = F.struct("at", (F.col("g_") * 3 + F.col("state_")).cast("tinyint").alias("c"))
+    chunks = numbered.groupBy(*stratum, F.shiftright("at", 16).alias("part_")).agg(F.max("m").alias("m"), F.sort_array(F.collect_list(code)).getField("c").alias("codes_"))
+    units = chunks.select(*stratum, "m", F.col("part_").alias("of_"))
+    some = [c for c in cells if c in reps.columns]
+    dealt = reps.join(F.broadcast(units), some) if some else reps.crossJoin(F.broadcast(units))
+    first = F.col("of_") * CHUNK
+    draws = dealt.withColumn("j", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("m")) - 1)))
+    name = [F.col(c) for c in stratum] or [F.lit("all")]
+    # never null, or the join would test it by a second hash
+    at = F.coalesce(F.pmod(hash_int(F.lit(seed), F.col("rep"), *name, F.col("j")), F.col("m")), F.lit(0).cast("long"))
+    draws = draws.select(*stratum, "rep", "j", at.alias("at"))
+    draws = draws.withColumn("part_", F.shiftright("at", 16)).join(F.broadcast(chunks.drop("m")), [*stratum, "part_"])
+    draws = draws.withColumn("c_", F.get("codes_", F.col("at").bitwiseAND(CHUNK - 1)).cast("int"))
+    near = F.col("c_") % 3 == 1
+    seen = draws.select(*cells, "rep", F.floor(F.col("c_") / 3).cast("int").alias("g_"), (F.col("c_") % 3).alias("state_"), F.when(near, F.col("at")).alias("at"), F.when(near, F.col("j")).alias("j"))
+    seen = seen.groupBy(*cells, "rep", "g_", "state_", "at", "j").agg(F.count(F.lit(1)).alias("c_"))
+    seen = seen.join(numbered.where("state_ = 1").select(*stratum, "at", "s_"), [*stratum, "at"], "left")
+    place = F.row_number().over(Window.partitionBy(*cells, "rep", "state_").orderBy(F.col("s_").desc_nulls_last(), tie_key(F.lit(seed), F.col("rep"), F.col("g_"), F.col("j"))))
+    cell = Window.partitionBy(*cells, "rep")
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("c_"))), F.lit(0))
+    state = F.col("state_")
+    sel = seen.withColumn("rk_", place).withColumn("over_", F.sum(F.when(state == 2, F.col("c_")).otherwise(0)).over(cell)).withColumn("k_", k_of(fraction, F.sum("c_").over(cell)))
+    sel = sel.withColumn("sel_", (state == 2) | (state == 1) & (F.col("over_") + F.col("rk_") <= F.col("k_")))
+    rate = lambda g: ratio(count((F.col("g_") == g) & F.col("sel_")), count(F.col("g_") == g)).alias(f"selection_rate_group{g}")
+    return sel.groupBy(*cells, "rep").agg(rate(0), rate(1), (F.max("over_") <= F.max("k_")).alias("low_"), (F.max("over_") + count(state == 1) >= F.max("k_")).alias("high_")).withColumn("holds_", F.col("low_") & F.col("high_")).drop("low_", "high_")
+
+
 def bootstrap_reps(df: DataFrame, score: str, group: str, keys: Sequence[str], fraction: float, reps: int, seed: int = 0, stratified: bool = True, cells: Sequence[str] = ()) -> DataFrame:
     """Per cell and repetition: ratio of the selection rates in a resample of the original size (of each group).
 
     Draw j of a repetition takes row number hash(seed, rep, stratum, j) mod n of its stratum. Rows of other groups go.
+    The border of a resample lies near the table's, so only draws in a bracket around it are ranked; a repetition whose
+    bracket does not hold its border is ranked whole.
     """
-    rows = df.where(F.col(group).isin(0, 1)).select(*cells, *keys, F.col(group).alias("g_"), finite(F.col(score)).alias("s_"))
+    rows = df.where(F.col(group).isin(0, 1)).select(*cells, *keys, F.col(group).cast("int").alias("g_"), finite(F.col(score)).alias("s_"))
     stratum = [*cells, "g_"] if stratified else [*cells]
-    by = Window.partitionBy(*stratum)
-    numbered = rows.withColumn("at", (F.row_number().over(by.orderBy(tie_key(seed, *map(F.col, keys)))) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(by))
-    draws = numbered.select(*stratum, F.col("at").alias("j"), "m").crossJoin(df.sparkSession.range(reps).withColumnRenamed("id", "rep"))
-    name = [F.col(c) for c in stratum] or [F.lit("all")]
-    draws = draws.withColumn("at", F.pmod(hash_int(F.lit(seed), F.col("rep"), *name, F.col("j")), F.col("m"))).drop("m")
-    taken = draws.join(numbered.drop("m"), [*stratum, "at"])
-    cell = Window.partitionBy(*cells, "rep")
-    order = cell.orderBy(F.col("s_").desc_nulls_last(), tie_key(F.lit(seed), F.col("rep"), F.col("g_"), F.col("j")))
-    sel = taken.withColumn("rk", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(cell)).withColumn("sel", (F.col("rk") <= k_of(fraction, F.col("n"))).cast("double"))
-    out = sel.groupBy(*cells, "rep").agg(F.avg(F.when(F.col("g_") == 0, F.col("sel"))).alias("selection_rate_group0"), F.avg(F.when(F.col("g_") == 1, F.col("sel"))).alias("selection_rate_group1"))
-    return with_impact(out)
+    rows = rows.withColumn("z_", F.coalesce("s_", F.lit(float("-inf"))))
+    bracket = _draw_bracket(rows, fraction, cells)
+    rows = _numbered(rows, stratum, keys, seed).select(*dict.fromkeys([*stratum, "g_"]), "at", "m", "s_", "z_")
+    met = rows.join(F.broadcast(bracket), list(cells)) if cells else rows.crossJoin(F.broadcast(bracket))
+    z = F.col("z_")
+    state = F.when(F.col("lo_").isNull() | z.between(F.col("lo_"), F.col("hi_")), 1).when(z > F.col("hi_"), 2).otherwise(0)
+    tasks = max(1, min(reps, 200))
+    every = df.sparkSession.range(0, reps, 1, tasks).withColumnRenamed("id", "rep")
+    out = _resampled(met.withColumn("state_", state).drop("z_", "lo_", "hi_"), every, fraction, seed, stratum, cells)
+    # lists, which no filter passes: both uses read one exchange, and the draws are made once
+    made = out.groupBy(*cells).agg(F.collect_list(F.struct("rep", "selection_rate_group0", "selection_rate_group1", "holds_")).alias("x")).select(*cells, F.explode("x").alias("x")).select(*cells, "x.*")
+    missed = made.where("NOT holds_").select(*cells, "rep").repartition(tasks, "rep")
+    again = _resampled(rows.withColumn("state_", F.lit(1)).drop("z_"), missed, fraction, seed, stratum, cells)
+    return with_impact(made.where("holds_").unionByName(again).drop("holds_"))
 
 
 def bootstrap_di(df: DataFrame, score: str, group: str, keys: Sequence[str], fraction: float, reps: int = 200, seed: int = 0, alpha: float = 0.05, stratified: bool = True, cells: Sequence[str] = ()) -> DataFrame:

@@ -1,5 +1,6 @@
 """Selection and metrics against small hand-made tables, and relations that must hold."""
 
+import hashlib
 import math
 
 import pytest
@@ -150,6 +151,34 @@ def test_bootstrap_keeps_group_sizes(spark):
     assert len(got) == 8 and all((5 * r["selection_rate_group1"] + 20 * r["selection_rate_group0"]) == pytest.approx(5) for r in got)
 
 
+def resampled(rows, fraction, reps, stratified):
+    """Rates of ``bootstrap_reps`` by ranking all draws, in plain Python; rows (id, score, grp, cell)."""
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    out = {}
+    for c in {r[3] for r in rows}:
+        own = sorted((r for r in rows if r[3] == c and r[2] in (0, 1)), key=lambda r: md5(0, r[0]))
+        for rep in range(reps):
+            drawn = []
+            for g in (0, 1) if stratified else (None,):
+                part = [r for r in own if g in (None, r[2])]
+                name = (c,) if g is None else (c, g)
+                drawn += [(part[int(md5(0, rep, *name, j)[:7], 16) % len(part)], j) for j in range(len(part))]
+            drawn.sort(key=lambda x: (x[0][1] is None, -(x[0][1] or 0.0), md5(0, rep, x[0][2], x[1])))
+            k, n = max(1, round(fraction * len(drawn))), [sum(r[2] == g for r, _ in drawn) for g in (0, 1)]
+            out[c, rep] = tuple(sum(r[2] == g for r, _ in drawn[:k]) / n[g] for g in (0, 1))
+    return out
+
+
+@pytest.mark.parametrize("stratified,deviations,share", [(True, 8, 0.2), (False, 8, 0.2), (False, -8, 0.2), (False, 8, 0.95)])
+def test_bootstrap_equals_a_ranking_of_all_draws(spark, monkeypatch, stratified, deviations, share):
+    # with -8 deviations, brackets miss the borders: repetitions are ranked whole
+    monkeypatch.setattr(inference, "DRAW_DEVIATIONS", deviations)
+    rows = [(i, None if i % 11 == 0 else float(i * 7919 % 1500) / 4, i % 4 - 1, "ab"[i % 9 == 0]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, score double, grp int, cell string")
+    got = inference.bootstrap_reps(df, "score", "grp", ["id"], share, 3, stratified=stratified, cells=["cell"]).collect()
+    assert {(r["cell"], r["rep"]): (r["selection_rate_group0"], r["selection_rate_group1"]) for r in got} == resampled(rows, share, 3, stratified)
+
+
 def test_axis_audit_skips_what_is_missing(spark):
     rows = spark.createDataFrame([(i, float(i), "Female" if i % 2 else "Male") for i in range(10)], "id int, s double, gender string")
     got = audits.axis_audit(rows, ["s", "gone"], {"gender": "gender", "unknown": "gender"}, ["id"], 0.2, n_bootstrap=5, permutations=True).collect()
